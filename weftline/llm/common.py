@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder this package lies in.
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -48,8 +51,12 @@ def unstage(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows in an Arrow batch, so that a batch of very long texts stays small."""
+    """Before a step with Python tasks: few rows in an Arrow batch, so that a batch of very long texts stays small; and the
+    workers look for this package where the driver found it (elsewhere it comes with --py-files)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    env = spark.sparkContext.environment
+    if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, env.get("PYTHONPATH")]))
 
 
 def per_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
