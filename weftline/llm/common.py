@@ -38,7 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage so that lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
