@@ -14,59 +14,49 @@ empty result; further columns of the input are not looked at.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bound_batches, stage, table
-from weftline.llm.token_counts import MEMO_CHARS, PLAIN, vocabulary_path
+from weftline.llm.token_counts import PLAIN, byte_letters, vocabulary_path
 
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: The split of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_PIECES = 400_000
 #: Patterns that the fit may use.
 PATTERNS = 12_000
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers, exactly as the library gives them; pieces are remembered."""
+    """Token ids of texts, as little-endian unsigned 32-bit integers, exactly as the tokenizers library gives them. Texts of a plain
+    alphabet without special strings go through a faster engine with the same vocabulary, whose ids are the merge order."""
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.split = regex.compile(SPLIT)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def of(self, text: str) -> bytes:
-        ids = self.lib.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(x in t for x in self.special) and PLAIN.fullmatch(t) is not None for t in texts]
-        cut = [self.split.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = list({p for pieces in cut for p in pieces if p not in memo})
-        own = {} if all(len(p) <= MEMO_CHARS for p in new) else {p: self.of(p) for p in new if len(p) > MEMO_CHARS}
-        new = [p for p in new if p not in own]
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        look = memo.__getitem__ if not own else lambda p: own[p] if p in own else memo[p]
-        return [b"".join(map(look, pieces)) if p else self.of(t) for t, p, pieces in zip(texts, plain, cut, strict=True)]
+        byte = {c: b for b, c in byte_letters().items()}
+        with open(path, encoding="utf-8") as f:
+            ranks = {bytes(map(byte.__getitem__, t)): i for t, i in json.load(f)["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -86,8 +76,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += last
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = enc.ids(t or "") + last
                 n = len(ids) // 4
                 at, k = 0, 0
                 size = n % capacity or capacity
