@@ -179,7 +179,148 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# Near copies at a stated similarity: 64 bits are too few to tell 0.8 from 0.7, so the sketch has WIDE bits.
+
+WIDE_WORDS = 4
+SIMILARITY = 0.8
+WIDE_SHINGLE = 5
+#: Keys of a text, each of KEY_ROWS minima over its shingles; texts of similarity 0.8 share one with a probability of 0.9996.
+KEYS, KEY_ROWS = 20, 5
+#: Members of a group of a cut key that stand for it where the cuts meet.
+STANDING = 4
+_odd = np.random.default_rng(42).integers(0, 1 << 63, KEYS * KEY_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE_WORDS) -> int:
+    """Bits that two sketches of this Jaccard similarity differ in, with two standard deviations to spare: a bit differs with the
+    probability (angle between the shingle vectors) / pi."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+
+
+def wide_sketch(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[list[int], list[int]]:
+    """SimHash of WIDE_WORDS words over distinct shingles, and the keys. A text without words has zeros."""
+    words = text.lower().split() if text else []
+    if not words:
+        return [0] * WIDE_WORDS, [0] * KEYS
+    k = min(shingle, len(words))
+    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), np.uint64)
+    lows = np.full(KEYS * KEY_ROWS, ~np.uint64(0))
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(h), 4080):
+        part = h[at : at + 4080]
+        lows = np.minimum(lows, (part[:, None] * _odd[None, WIDE_WORDS:]).min(axis=0))
+        mixed = part[:, None] * _odd[None, :WIDE_WORDS]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1)
+        for b in range(0, len(bits), 255):  # sums of up to 255 rows fit in a byte
+            ones += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+    key = np.zeros(KEYS, np.uint64)
+    for r in range(KEY_ROWS):
+        key = (key ^ lows[r::KEY_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return np.packbits(2 * ones > len(h)).view(np.int64).tolist(), key.view(np.int64).tolist()
+
+
+def wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, key, node, f0, ...) in the order of unit; key is null where the unit is all of its key. (u, v): spanning stars of the
+    links in each unit; (key, node, f0, ...): nodes that stand for the groups of a unit that is a part of its key."""
+    names = ["u", "v", "key", "node", *(f"f{i}" for i in range(WIDE_WORDS))]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= radius
+
+    def links(unit: np.ndarray, key: np.ndarray, part: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        size = np.diff(np.r_[cuts, len(unit)])
+        run = np.repeat(size, size)
+        a, b = [node[:0]], [node[:0]]
+        for d in range(1, min(SHORT_RUN, len(unit))):
+            i = np.flatnonzero((unit[d:] == unit[:-d]) & (run[d:] <= SHORT_RUN))
+            if not len(i) and d > 1:
+                break
+            i = i[near(f[i + d], f[i])]
+            a.append(node[i + d])
+            b.append(node[i])
+        for at, n in zip(cuts[size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
+            x, ids = f[at : at + n], node[at : at + n]
+            weight = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            order = np.argsort(weight, kind="stable")
+            x, ids, weight = x[order], ids[order], weight[order]
+            for i in range(0, n, 256):
+                for j in range(i, n, 256):
+                    if weight[j] - weight[min(i + 255, n - 1)] > radius:
+                        break
+                    p, q = np.nonzero(near(x[i : i + 256, None], x[None, j : j + 256]))
+                    u, r = forest(ids[i : i + 256][p], ids[j : j + 256][q])
+                    a.append(u)
+                    b.append(r)
+        u, v = forest(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (node[:0], node[:0])
+        nulls = pa.nulls(len(u), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[nulls] * (2 + WIDE_WORDS)], names)
+        i = np.flatnonzero(part)
+        if len(i):
+            at = np.searchsorted(u, node[i]) if len(u) else np.zeros(len(i), np.int64)
+            linked = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == node[i]) if len(u) else np.zeros(len(i), bool)
+            root = np.where(linked, v[np.minimum(at, len(u) - 1)] if len(u) else node[i], node[i])
+            order = np.lexsort((node[i], root, unit[i]))
+            new = np.r_[True, (root[order][1:] != root[order][:-1]) | (unit[i][order][1:] != unit[i][order][:-1])]
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            i = i[order[rank < STANDING]]
+            nulls = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(key[i]), pa.array(node[i]), *(pa.array(f[i, w].view(np.int64)) for w in range(WIDE_WORDS))], names)
+
+    kept: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        f = np.stack([batch.column(3 + w).to_numpy() for w in range(WIDE_WORDS)], 1).view(np.uint64)
+        now = (batch.column(0).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy(), pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), f)
+        unit, key, part, node, f = (np.concatenate(x) for x in zip(*kept, now, strict=True))
+        last = int(np.searchsorted(unit, unit[-1]))  # the last run may go on in the next batch
+        if last:
+            yield from links(unit[:last], key[:last], part[:last], node[:last], f[:last])
+        kept = [(unit[last:], key[last:], part[last:], node[last:], f[last:])]
+    if kept:
+        yield from links(*kept[0])
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id): components of texts whose sketches say that they are of ``similarity`` or more. Texts meet under keys of
+    minima; under a key they are compared exactly, tile by tile. A key of more than ``tile`` sketches is cut by hash: each cut is
+    compared in itself, then members that stand for the groups of each cut are compared with one another."""
+    radius = wide_radius(similarity)
+    f = [f"f{i}" for i in range(WIDE_WORDS)]
+    schema = "doc_id long, " + ", ".join(f"{x} long" for x in f) + ", keys array<long>"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [wide_sketch(t, shingle) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+        cols = [pa.array([m[0][w] for m in made], pa.int64()) for w in range(WIDE_WORDS)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", *f, "keys"])
+
+    sketches = stage(per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), run, schema), "sketches")
+    distinct = stage(sketches.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
+    keyed = distinct.select("node", *f, F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = F.when(F.col("n") > tile, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
+    met = keyed.join(sizes, "key").withColumn("cut", cut).select(F.when(F.col("cut").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cut")).alias("unit"), F.when(F.col("cut").isNotNull(), F.col("key")).alias("key"), "node", *f)
+    out = "u long, v long, key long, node long, " + ", ".join(f"{x} long" for x in f)
+    bound_batches(docs.sparkSession, 10_000)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return stage(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: wide_links(batches, radius), out), "wide-links")
+
+    first = dealt(met)
+    second = dealt(first.where("node is not null").select(F.col("key").alias("unit"), F.lit(None).cast("long").alias("key"), "node", *f))
+    edges = first.where("u is not null").select("u", "v").union(second.where("u is not null").select("u", "v"))
+    roots = components(edges)  # the root is a component's smallest node, and a node is the smallest doc_id of its sketch
+    nodes = distinct.join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("component_id"))
+    return sketches.join(nodes, f).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each component stays (rows without a doc_id stay)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: of each component of near copies one row of the smallest doc_id stays; rows without a doc_id stay."""
+    kept = similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
