@@ -39,20 +39,27 @@ QUARTERS = 4
 VARIABLE = re.compile(r"\S*[0-9]\S*")
 
 
-def templates(line: str) -> list[int]:
-    """The names of a line's templates: its own, then the generalised ones."""
-    tokens = line.split()
+def lead(tokens: list[str]) -> int:
+    """The upper 16 bits of a template's name: the hash of the first two tokens, by which most lines are seen not to recur."""
+    return xxhash.xxh64_intdigest(f"{tokens[0]} {tokens[1]}") & 0xFFFF
+
+
+def templates(tokens: list[str]) -> list[int]:
+    """The names of a line's templates, from its masked tokens: its own, then the generalised ones."""
     n = len(tokens)
     if n < MIN_TOKENS:
         return []
-    path = f"{n} {tokens[0]} {tokens[1]}\n"
+    path, head = f"{n} {tokens[0]} {tokens[1]}\n", lead(tokens) << 48
     rest = tokens[2:]
-    name = xxhash.xxh64_intdigest
+
+    def name(below: str) -> int:
+        return head | xxhash.xxh64_intdigest(path + below) >> 16
+
     if n < GENERAL_TOKENS:
-        return [name(path + " ".join(rest))]
+        return [name(" ".join(rest))]
     cuts = [len(rest) * i // QUARTERS for i in range(QUARTERS + 1)]
     parts = [" ".join(rest[cuts[i] : cuts[i + 1]]) for i in range(QUARTERS)]
-    return [name(path + " ".join(parts)), *(name(path + " ".join([*parts[:i], f"<{i}>", *parts[i + 1 :]])) for i in range(QUARTERS))]
+    return [name(" ".join(parts)), *(name(" ".join([*parts[:i], f"<{i}>", *parts[i + 1 :]])) for i in range(QUARTERS))]
 
 
 def masked(text: str) -> list[str]:
@@ -62,13 +69,12 @@ def masked(text: str) -> list[str]:
 
 def counted(text: str) -> Iterable[tuple[int, int]]:
     """(template, family) for the templates of a text, each pair once."""
-    lines = masked(text)
-    longest = [max(x.split(), key=len, default="") for x in lines]
+    lines = [x.split() for x in dict.fromkeys(masked(text))]  # the same line again is not another line
+    longest = [max(x, key=len, default="") for x in lines]
     first = max(range(len(lines)), key=lambda i: len(longest[i]))
     second = max((x for i, x in enumerate(longest) if i != first), key=len, default="")
     others = xxhash.xxh64_intdigest(longest[first]), xxhash.xxh64_intdigest(second)
-    # the other lines' longest token; the same line again is not another line
-    return {(t, others[0] if x != lines[first] else others[1]) for x in dict.fromkeys(lines) for t in templates(x)}
+    return {(t, others[i == first]) for i, x in enumerate(lines) for t in templates(x)}
 
 
 def signed(values: Iterable[int]) -> pa.Array:
@@ -88,13 +94,25 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts.where(f"families >= {MIN_FAMILIES} and docs <= {COPIES} * families").select("template")
 
 
-def without(text: str, drop: set[int]) -> tuple[str, int]:
-    """The text without the lines that have a template in ``drop``, and how many those are."""
+def without(text: str, drop: frozenset[int], leads: frozenset[int]) -> tuple[str, int]:
+    """The text without the lines that have a template in ``drop`` (``leads``: their upper bits), and how many those are."""
+
+    def recurs(line: str) -> bool:
+        start = line.split(None, 2)
+        if len(start) < MIN_TOKENS or lead(VARIABLE.sub("<*>", f"{start[0]} {start[1]}").split()) not in leads:
+            return False
+        return not drop.isdisjoint(templates(VARIABLE.sub("<*>", line).split()))
+
     lines = text.split("\n")
-    keep = [x for x, m in zip(lines, masked(text), strict=True) if drop.isdisjoint(templates(m))]
+    keep = [x for x in lines if not recurs(x)]
     return (text, 0) if len(keep) == len(lines) else ("\n".join(keep), len(lines) - len(keep))
 
 
+def with_leads(names: Iterable[int]) -> tuple[frozenset[int], frozenset[int]]:
+    drop = frozenset(t & (1 << 64) - 1 for t in names)
+    return drop, frozenset(t >> 48 for t in drop)
+
+
 def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_TEMPLATES) -> DataFrame:
     """``docs`` with the text without its recurring lines, and n_lines and n_dropped."""
     spark = docs.sparkSession
@@ -104,20 +122,20 @@ def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BR
     at = columns.index(text)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
 
-    def cut(batch: pa.RecordBatch, drops: Iterable[set[int]]) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, drops: Iterable[tuple[frozenset[int], frozenset[int]]]) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()
-        done = [(None, 0) if t is None else without(t, d) for t, d in zip(texts, drops, strict=True)]
+        done = [(None, 0) if t is None else without(t, *d) for t, d in zip(texts, drops, strict=True)]
         own = [batch.column(i) for i in range(len(columns))]
         own[at] = pa.array([d[0] for d in done], pa.string())
         lines = [0 if not t else t.count("\n") + 1 for t in texts]
         return pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array([d[1] for d in done], pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     if found.count() <= broadcast_limit:
-        names = spark.sparkContext.broadcast(frozenset(r.template & (1 << 64) - 1 for r in found.toLocalIterator()))
+        names = spark.sparkContext.broadcast(with_leads(r.template for r in found.toLocalIterator()))
         return per_text(docs, lambda batch: cut(batch, [names.value] * batch.num_rows), out)
 
     def of_text(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(h, t) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for t in {t for m in masked(x) for t in templates(m)}]
+        rows = [(h, t) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for t in {t for m in masked(x) for t in templates(m.split())}]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), signed(r[1] for r in rows)], ["_of", "template"])
 
     keyed = docs.withColumn("_of", F.xxhash64(F.col(text)))
@@ -125,7 +143,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BR
     drops = of.join(found, "template", "left_semi").groupBy("_of").agg(F.collect_set("template").alias("_drops"))
     met = keyed.join(drops, "_of", "left").select(*[docs[c] for c in columns], "_drops")
     bound_batches(spark)
-    return per_text(met, lambda b: cut(b, [{t & (1 << 64) - 1 for t in d or ()} for d in b.column(len(columns)).to_pylist()]), out)
+    return per_text(met, lambda b: cut(b, [with_leads(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
