@@ -1,0 +1 @@
+"""Plans: Dataset, schemas, error policies."""
