@@ -290,10 +290,10 @@ def repeated_spans(texts: DataFrame, broadcast_limit: int = BROADCAST_BUCKETS, h
     spark = texts.sparkSession
     buckets = stage(initial_buckets(texts), "buckets")
     if buckets.count() <= broadcast_limit:
-        rows = list(buckets.toLocalIterator())
-        names = np.array([r.bucket for r in rows], np.int64).view(U)
+        rows = buckets.toArrow()
+        names = rows.column("bucket").to_numpy().view(U)
         order = np.argsort(names)
-        several = np.array([r.several for r in rows], bool)
+        several = rows.column("several").to_numpy()
         found = members(texts, spark.sparkContext.broadcast((names[order], several[order])))
     else:
         found = members(with_buckets(texts, buckets), None)
