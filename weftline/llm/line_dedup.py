@@ -152,5 +152,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the columns of ``docs``, the text without recurring lines and n_chars to match; every row stays."""
-    rows = dropped_lines(docs).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with the operator's
+    rows = dropped_lines(docs.toDF(*names), names[docs.columns.index("text")]).select(*names).toDF(*docs.columns)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
