@@ -12,7 +12,7 @@ from weftline.functions import aggregates, arithmetic, hashing, jsons, maps, plu
 from weftline.operators.indexing import zip_with_index
 from weftline.operators.joins import key_join, salted_join
 from weftline.plans import policy, schema
-from weftline.plans.dataset import Dataset
+from weftline.plans.dataset import Dataset, Materialized
 from weftline.plans.errors import InvalidPlan, SchemaMismatch
 from weftline.streaming import windowed
 
@@ -200,3 +200,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, batch))
+
+
+def test_materialized(people):
+    m = Dataset(people.orderBy("id")).materialize()
+    assert m.row_count == 4 and m.column("id") == [1, 2, 3, 4] and m.map(lambda r: r.id * 2) == [2, 4, 6, 8]
+    seen = []
+    m.foreach(lambda r: seen.append(r.name))
+    again = Materialized.from_rows([tuple(r) for r in m.to_list()], m.schema)
+    assert seen == ["a", "b", "c", "d"] and again.show(1) == m.show(1)

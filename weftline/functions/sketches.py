@@ -108,6 +108,30 @@ def difference(left, right) -> Column:
     return _entries(F.sort_array(F.array_except(_hashes(a), _hashes(b))), lambda h: F.try_element_at(_summaries(a), h))
 
 
+# A theta sketch has keys alone: here an array of (u, h).
+
+
+def theta_sketch(sketch) -> Column:
+    """The keys of a tuple sketch."""
+    return _hashes(column(sketch))
+
+
+def union_theta(left, keys, lg: int = 12, default: float = 1.0) -> Column:
+    """A tuple sketch with a theta sketch, whose keys bring ``default`` as their summary where they are new."""
+    a = column(left)
+    return F.slice(_entries(F.sort_array(F.array_union(_hashes(a), column(keys))), lambda h: F.coalesce(F.try_element_at(_summaries(a), h), F.lit(default))), 1, 1 << lg)
+
+
+def intersection_theta(left, keys) -> Column:
+    a = column(left)
+    return _entries(F.sort_array(F.array_intersect(_hashes(a), column(keys))), lambda h: F.try_element_at(_summaries(a), h))
+
+
+def difference_theta(left, keys) -> Column:
+    a = column(left)
+    return _entries(F.sort_array(F.array_except(_hashes(a), column(keys))), lambda h: F.try_element_at(_summaries(a), h))
+
+
 def union_agg(df: DataFrame, by: list[str], sketch: str = "sketch", lg: int = 12, mode: str = "sum") -> DataFrame:
     """The union of the sketches of each group: their entries as rows, folded and ranked again."""
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[mode]

@@ -4,6 +4,7 @@ Nothing here runs a job but the actions, ``narrow``, and ``zip_with_index`` (whi
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -178,7 +179,10 @@ class Dataset:
         return self._next(self.df.persist(), "Persist")
 
     def checkpoint(self) -> Dataset:
-        """Cuts the plan: the rows are written to spark.checkpoint.dir, which outlives executors."""
+        """Cuts the plan: the rows are written to spark.checkpoint.dir, which outlives executors (a local folder where it is unset)."""
+        spark = self.df.sparkSession
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-weftline-"))
         return self._next(self.df.checkpoint(), "Checkpoint")
 
     def rebalance(self, n: int | None = None) -> Dataset:
@@ -228,8 +232,7 @@ class Dataset:
         return self.df.take(n)
 
     def show(self, n: int = 20) -> str:
-        head = " | ".join(self.df.columns)
-        return "\n".join([head, "-" * len(head), *(" | ".join("null" if v is None else str(v) for v in r) for r in self.take(n))])
+        return table(self.df.columns, self.take(n))
 
     def tree(self, depth: int = 0) -> str:
         """The operators, the last one first, each above its inputs."""
@@ -239,5 +242,45 @@ class Dataset:
         print(self.tree())
         self.df.explain(mode)
 
+    def materialize(self) -> Materialized:
+        """The rows, collected: for results of a size that the driver holds."""
+        return Materialized(self.collect(), self.df.schema)
+
     def to_frame(self) -> DataFrame:
         return self.df
+
+
+class Materialized:
+    """Collected rows with their schema."""
+
+    def __init__(self, rows: list[Row], kind: StructType) -> None:
+        self.rows, self.schema = rows, kind
+
+    @classmethod
+    def from_rows(cls, rows: Iterable[tuple], kind: StructType) -> Materialized:
+        return cls([Row(*kind.names)(*r) for r in rows], kind)
+
+    @property
+    def row_count(self) -> int:
+        return len(self.rows)
+
+    def column(self, name: str) -> list[Any]:
+        return [r[name] for r in self.rows]
+
+    def foreach(self, fn: Callable[[Row], Any]) -> None:
+        for r in self.rows:
+            fn(r)
+
+    def map(self, fn: Callable[[Row], Any]) -> list[Any]:
+        return [fn(r) for r in self.rows]
+
+    def to_list(self) -> list[Row]:
+        return list(self.rows)
+
+    def show(self, n: int = 20) -> str:
+        return table(self.schema.names, self.rows[:n])
+
+
+def table(names: list[str], rows: list[Row]) -> str:
+    head = " | ".join(names)
+    return "\n".join([head, "-" * len(head), *(" | ".join("null" if v is None else str(v) for v in r) for r in rows)])

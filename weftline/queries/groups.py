@@ -70,6 +70,7 @@ AGGREGATES: list[Spec] = [
     ("bit_xor_agg", BIG, lambda: G.bit_xor(F.col("l_partkey")), "bit_xor(l_partkey)"),
     ("histogram_numeric", BIG, lambda: F.size(G.histogram_numeric("l_quantity", 5)), "5"),
     ("kll_sketch_agg", BIG, lambda: K.kll_n("double", K.kll_sketch_agg("double", "l_quantity")), "count(*)"),
+    *[(f"kll_sketch_{k}", BIG, partial(lambda k, c: K.kll_n(k, K.kll_sketch_agg(k, F.col(c).cast(k), 200)), k, c), "count(*)") for k, c in (("bigint", "l_partkey"), ("float", "l_quantity"))],
     ("kll_quantile", BOOL, lambda: F.abs(K.kll_quantile("double", K.kll_sketch_agg("double", "l_quantity"), 0.5) - G.median("l_quantity")) <= 2, "true"),
     ("kll_rank", BOOL, lambda: F.abs(K.kll_rank("double", K.kll_sketch_agg("double", "l_quantity"), 25.0) - 0.5) < 0.05, "true"),
     ("kll_merge", BIG, lambda: K.kll_n("bigint", K.kll_merge("bigint", K.kll_sketch_agg("bigint", "l_partkey"), K.kll_sketch_agg("bigint", "l_orderkey"))), "2 * count(*)"),
@@ -160,6 +161,12 @@ def _tuple_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(K.estimate(K.union("a", "b")).alias("either"), K.estimate(K.intersection("a", "b")).alias("both"), K.estimate(K.difference("a", "b")).alias("only"), F.round(K.summary(K.union("a", "b"), mode="max"), 2).alias("top"))
 
 
+def _theta_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _sketches(spark, sf_dir)  # a row each
+    both = a.crossJoin(b.select(K.theta_sketch("b").alias("t")))
+    return both.select(K.estimate(K.union_theta("a", "t")).alias("either"), K.estimate(K.intersection_theta("a", "t")).alias("both"), K.estimate(K.difference_theta("a", "t")).alias("only"), F.round(K.summary(K.intersection_theta("a", "t")), 2).alias("total"))
+
+
 def _tuple_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = K.tuple_sketch(_read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", "l_quantity")
     u = K.union_agg(made, ["l_returnflag"]).select("l_returnflag", K.estimate("sketch").alias("either"))
@@ -181,7 +188,7 @@ def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n: partial(_aggregate, kind=k, value=v) for n, k, v, _ in AGGREGATES} | {n: partial(_window, kind=k, value=v, framed=f) for n, k, v, _, f in WINDOWS} | {
     "grouping": _rollup, "grouping_id": _cube, "grouping_sets": _sets, "top_per_group": _top, "kll_merge_agg": _kll_merge_agg, "tuple_sketch_agg": _tuple_sketch,
-    "tuple_sketch_sets": _tuple_sets, "tuple_sketch_set_aggs": _tuple_aggs, "quarantine": _quarantined, "collect_errors": _collected,
+    "tuple_sketch_sets": _tuple_sets, "theta_sketch_sets": _theta_sets, "tuple_sketch_set_aggs": _tuple_aggs, "quarantine": _quarantined, "collect_errors": _collected,
     "current_path": lambda spark, sf_dir: _read(spark, sf_dir, "region").select("r_regionkey", K.current_path().alias("v")),
 }
 ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _window_sql(k, s, f) for n, k, _, s, f in WINDOWS} | {
@@ -192,6 +199,7 @@ ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _
     "kll_merge_agg": "SELECT l_returnflag, count(*) AS v FROM lineitem GROUP BY 1",
     "tuple_sketch_agg": "SELECT l_returnflag, count(DISTINCT l_partkey)::DOUBLE AS keys, round(sum(l_quantity), 2) AS total, 1.0::DOUBLE AS theta FROM lineitem GROUP BY 1",
     "tuple_sketch_sets": "WITH a AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT count(*)::DOUBLE AS either, (count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL))::DOUBLE AS both, (count(*) FILTER (b.k IS NULL))::DOUBLE AS only, round(max(coalesce(a.q + b.q, a.q, b.q)), 2) AS top FROM a FULL JOIN b ON a.k = b.k",
+    "theta_sketch_sets": "WITH a AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT DISTINCT l_partkey k FROM lineitem WHERE l_returnflag = 'R') SELECT count(*)::DOUBLE AS either, (count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL))::DOUBLE AS both, (count(*) FILTER (b.k IS NULL))::DOUBLE AS only, round(sum(a.q) FILTER (b.k IS NOT NULL), 2) AS total FROM a FULL JOIN b ON a.k = b.k",
     "tuple_sketch_set_aggs": "WITH k AS (SELECT l_returnflag, l_partkey, count(DISTINCT l_linestatus) n FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, count(DISTINCT l_linestatus) n FROM lineitem GROUP BY 1) SELECT k.l_returnflag, count(*)::DOUBLE AS either, (count(*) FILTER (k.n = s.n))::DOUBLE AS every FROM k JOIN s USING (l_returnflag) GROUP BY 1",
     "quarantine": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN round(p_retailprice / (p_size % 3), 6) END AS ratio, CASE WHEN p_size % 3 = 0 THEN 'DivisionByZero' END AS error FROM part",
     "collect_errors": "SELECT 'DivisionByZero' AS kind, count(*) AS n, 5::BIGINT AS listed, true AS truncated FROM part WHERE p_size % 2 = 0",

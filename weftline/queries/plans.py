@@ -209,6 +209,17 @@ def persist(t):
     return t("nation").select("n_name").persist()
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def checkpoint(t):
+    return t("nation").select("n_nationkey", "n_name").checkpoint()
+
+
+@query("SELECT n_nationkey, n_nationkey < 10 AS low FROM nation")
+def partition(t):
+    low, high = t("nation").select("n_nationkey").partition(F.col("n_nationkey") < 10)
+    return low.with_fields(low=F.lit(True)).union(high.with_fields(low=F.lit(False)))
+
+
 @query("SELECT n_name, n_regionkey FROM nation")
 def rebalance(t):
     return t("nation").select("n_name", "n_regionkey").rebalance(3).rebalance()
