@@ -160,6 +160,14 @@ def test_json_and_const(spark):
     assert r[0] == [1, 2] and tuple(r[1]) == (1, "x") and r[2] == {"k": 1} and r[3] is None
 
 
+def test_json_tuple_is_get_json_object(spark):
+    texts = ['{"a": "x", "b.c": 2, "d": {"e": [1, 2]}, "f": true, "g": 1.50}', '{"a": null}', "[1]", '[{"a": 1}]', "{bad", "", None, ' {"a": "é\\n"}', '{"g": 1e3, "a": ""}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    keys = ("a", "b.c", "d", "f", "g", "none")
+    both = df.select(jsons.json_tuple("j", *keys).alias("x"), F.array(*(F.get_json_object("j", f"$['{k}']") for k in keys)).alias("y")).collect()
+    assert [r.x for r in both] == [r.y for r in both]
+
+
 def test_time_bucket_with_origin(spark):
     ts = F.lit("2024-01-01 00:07:00").cast("timestamp")
     r = spark.range(1).select(timestamps.time_bucket(300_000_000, ts, F.lit("2024-01-01 00:01:00").cast("timestamp")).cast("string")).first()

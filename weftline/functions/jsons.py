@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions.plumbing import column
 
@@ -15,8 +16,10 @@ def get_json_object(c, path: str) -> Column:
 
 
 def json_tuple(c, *keys: str) -> Column:
-    """The values of top-level keys, as an array of strings."""
-    return F.array(*(F.get_json_object(column(c), f"$['{k}']") for k in keys))
+    """The values of top-level keys of an object, as an array of strings; the text is parsed once for all of them."""
+    fields = StructType([StructField(k, StringType()) for k in dict.fromkeys(keys)])
+    found = F.from_json(F.when(F.ltrim(column(c)).startswith("{"), column(c)), fields)
+    return F.array(*(found.getField(k) for k in keys))
 
 
 def from_json(c, schema: str) -> Column:

@@ -118,47 +118,59 @@ def except_(t):
     return t("part").select(k="p_size").except_(t("supplier").select(k="s_nationkey"))
 
 
-NEAR = "s_nationkey = c_nationkey AND s_acctbal > c_acctbal"
+NEAR = "s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 9000"
+KEY = "s_suppkey * 30 = c_custkey"
 
 
 def _near(l, r):
-    return (l("s_nationkey") == r("c_nationkey")) & (l("s_acctbal") > r("c_acctbal"))
+    return (l("s_nationkey") == r("c_nationkey")) & (l("s_acctbal") > r("c_acctbal") + 9000)
 
 
 def _sides(t):
-    return t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), t("customer").filter("c_custkey % 40 = 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    return t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), t("customer").select("c_custkey", "c_nationkey", "c_acctbal")
 
 
-PICKED = "(SELECT * FROM customer WHERE c_custkey % 40 = 0)"
 for _name, _method, _sql in (("inner_join", "join", "JOIN"), ("left_join", "left_join", "LEFT JOIN"), ("right_join", "right_join", "RIGHT JOIN"), ("full_join", "full_join", "FULL JOIN")):
 
-    @query(f"SELECT s_suppkey, c_custkey FROM supplier {_sql} {PICKED} ON {NEAR}", name=_name)
+    @query(f"SELECT s_suppkey, c_custkey FROM supplier {_sql} customer ON {NEAR}", name=_name)
     def _predicate(t, method=_method):
         l, r = _sides(t)
         return getattr(l, method)(r, _near).select("s_suppkey", "c_custkey")
 
-    @query(f"SELECT s_suppkey, c_custkey FROM supplier {_sql} {PICKED} ON s_nationkey = c_nationkey", name=f"{_name}_on")
+    @query(f"SELECT s_suppkey, c_custkey FROM supplier {_sql} customer ON {KEY}", name=f"{_name}_on")
     def _keyed(t, method=_method):
         l, r = _sides(t)
-        return getattr(l, f"{method}_on")(r, "s_nationkey", "c_nationkey").select("s_suppkey", "c_custkey")
+        return getattr(l, f"{method}_on")(r, F.col("s_suppkey") * 30, "c_custkey").select("s_suppkey", "c_custkey")
 
 
-@query(f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM {PICKED} WHERE {NEAR})")
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal + 9500")
+def theta_join(t):
+    l, r = _sides(t)
+    return l.join(r, lambda a, b: a("s_acctbal") > b("c_acctbal") + 9500).select("s_suppkey", "c_custkey")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey * 10 = c_custkey")
+def inner_join_on_keys(t):
+    l, r = _sides(t)
+    return l.join_on(r, ["s_nationkey", F.col("s_suppkey") * 10], ["c_nationkey", "c_custkey"]).select("s_suppkey", "c_custkey")
+
+
+@query(f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE {NEAR})")
 def left_anti_join(t):
     l, r = _sides(t)
     return l.anti_join(r, _near).select("s_suppkey")
 
 
-@query(f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM {PICKED} WHERE c_nationkey = s_nationkey)")
+@query(f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE {KEY})")
 def left_anti_join_on(t):
     l, r = _sides(t)
-    return l.anti_join_on(r, "s_nationkey", "c_nationkey").select("s_suppkey")
+    return l.anti_join_on(r, F.col("s_suppkey") * 30, "c_custkey").select("s_suppkey")
 
 
-@query(f"SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM {PICKED} WHERE c_nationkey = s_nationkey)")
+@query(f"SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE {KEY})")
 def left_semi_join_on(t):
     l, r = _sides(t)
-    return l.semi_join_on(r, "s_nationkey", "c_nationkey").select("s_suppkey")
+    return l.semi_join_on(r, F.col("s_suppkey") * 30, "c_custkey").select("s_suppkey")
 
 
 @query("SELECT o_orderkey, l_linenumber::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
