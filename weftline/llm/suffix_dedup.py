@@ -8,8 +8,8 @@ window's bytes alone, so equal windows own suffixes of one bucket, at one offset
 1. Initial buckets: the q-gram names at the sampled suffixes are counted over the corpus. Buckets of one suffix are done.
 2. A bucket whose suffixes all have one region name is done too: all of it is repeated.
 3. In the other buckets regions are refined: a window's name is made of the bucket pointers at its later offsets, and windows of
-   one bucket, offset and name are equal. A bucket of more than HOT_REGIONS regions is refined by counting window names,
-   combined before the shuffle, the others each in one pass of a task.
+   one bucket, offset and name are equal. A bucket of more than HOT_REGIONS regions is refined by counting names of blocks of
+   windows, then of the windows of the blocks at the ends of what is repeated; the others each in one pass of a task.
 
 A region's repeated windows overlap, so they are one span; spans join the texts again by document. Names are 64-bit hashes used
 within a bucket of its own 64-bit name, so two different strings are taken for equal with a probability of about 2**-100 a pair.
@@ -35,7 +35,8 @@ from weftline.llm.common import bound_batches, per_text, stage, table
 LENGTH = 200
 GRAM = 48
 WINDOWS = LENGTH - GRAM + 1
-HOT_REGIONS = 20_000
+HOT_REGIONS = 2_000
+BLOCK_OFFSETS = 16
 BROADCAST_BUCKETS = 4_000_000
 #: Bytes of documents that are looked at together, and of a long document's block.
 GROUP_BYTES = 1 << 17
@@ -271,18 +272,53 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refined_hot(regions: DataFrame) -> DataFrame:
-    """As ``refined``, for buckets too large for a task: window names are counted, combined before the shuffle."""
+    """As ``refined``, for buckets too large for a task. Windows are refined in blocks of BLOCK_OFFSETS offsets: where the bytes that all
+    windows of a block share (its core) are not repeated, none of its windows is; where all the bytes of a block are, all are. Only the
+    windows of the other blocks, at the ends of what is repeated, are counted one by one. All counts are combined before a shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, start, offset, _ = windows_of(batch)
+            block = offset // BLOCK_OFFSETS
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])  # offsets fall as starts rise
+            tail = np.r_[new[1:], len(row)] - 1
+            texts = batch.column("bytes").to_pylist()
+            begins = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]].astype(np.int64)[row[new]]
+            names = doubled(np.frombuffer(b"".join(texts), np.uint8))[128]
+            place = batch.column("place").to_numpy().astype(np.int64)[row[new]]
+            core_at = begins + place - block[new] * BLOCK_OFFSETS  # the start of the block's last window
+            core = name_of(name_of(names[core_at], names[core_at + LENGTH - BLOCK_OFFSETS + 1 - 128]), (2 * block[new]).astype(U))
+            at = begins + start[new]
+            whole = name_of(name_of(names[at], names[np.minimum(at + LENGTH + BLOCK_OFFSETS - 1 - 128, len(names) - 1)]), (2 * block[new] + 1).astype(U))
+            full = tail - new + 1 == BLOCK_OFFSETS
+            b, r, n = (batch.column(c).to_numpy()[row[new]] for c in ("bucket", "region", "n"))
+            yield pa.RecordBatch.from_arrays([longs(b), longs(r), longs(n), longs(block[new]), longs(start[new]), longs(start[tail]), longs(core), pa.array(whole.view(np.int64), mask=~full)], ["bucket", "region", "n", "block", "lo", "hi", "core", "whole"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 row, start, offset, name = windows_of(batch)
-                b, r, n = (batch.column(c).to_numpy() for c in ("bucket", "region", "n"))
-                yield pa.RecordBatch.from_arrays([longs(b[row]), longs(r[row]), longs(start), longs(name_of(offset.astype(U), name)), longs(n[row])], ["bucket", "region", "start", "name", "n"])
-
-    windows = regions.select("bucket", "region", "last", "place", "n", "bytes").mapInArrow(run, "bucket long, region long, start long, name long, n long")
-    twice = windows.groupBy("bucket", "name").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", "name")
-    return windows.join(twice, ["bucket", "name"], "left_semi").groupBy("bucket", "region").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+                own = batch.column("blocks")
+                wanted = np.concatenate([x.as_py() for x in own]) + 1024 * np.repeat(np.arange(batch.num_rows), [len(x) for x in own])
+                keep = np.isin(row * 1024 + offset // BLOCK_OFFSETS, wanted)
+                row, start, name = row[keep], start[keep], name_of(offset[keep].astype(U), name[keep])
+                b, r, n = (batch.column(c).to_numpy()[row] for c in ("bucket", "region", "n"))
+                yield pa.RecordBatch.from_arrays([longs(b), longs(r), longs(start), longs(name), longs(n)], ["bucket", "region", "start", "name", "n"])
+
+    cut = stage(regions.select("bucket", "region", "last", "place", "n", "bytes").mapInArrow(blocks, "bucket long, region long, n long, block long, lo long, hi long, core long, whole long"), "blocks")
+    names = cut.select("bucket", "n", F.explode(F.array_compact(F.array("core", "whole"))).alias("name"))
+    twice = stage(names.groupBy("bucket", "name").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", "name"), "repeated-blocks")
+    alive = cut.join(twice.withColumnRenamed("name", "core"), ["bucket", "core"], "left_semi")
+    alive = stage(alive.join(twice.select("bucket", F.col("name").alias("whole"), F.lit(True).alias("all")), ["bucket", "whole"], "left").select("bucket", "region", "block", "whole", "lo", "hi", F.coalesce("all", F.lit(False)).alias("all")), "alive-blocks")
+    # a block that is repeated as a whole is looked into once, as windows of other regions may equal windows of it
+    once = alive.where("all").groupBy("bucket", "whole").agg(F.min(F.struct("region", "block")).alias("one")).select("bucket", "one.*")
+    lists = alive.where("not all").select("bucket", "region", "block").union(once).groupBy("bucket", "region").agg(F.collect_list("block").alias("blocks"))
+    windows = regions.join(lists, ["bucket", "region"]).select("bucket", "region", "last", "place", "n", "bytes", "blocks").mapInArrow(opened, "bucket long, region long, start long, name long, n long")
+    same = windows.groupBy("bucket", "name").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", "name")
+    ends = windows.join(same, ["bucket", "name"], "left_semi").select("bucket", "region", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    return alive.where("all").select("bucket", "region", "lo", "hi").union(ends).groupBy("bucket", "region").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def repeated_spans(texts: DataFrame, broadcast_limit: int = BROADCAST_BUCKETS, hot: int = HOT_REGIONS) -> DataFrame:
