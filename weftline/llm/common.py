@@ -51,9 +51,10 @@ def unstage(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before a step with Python tasks: few rows in an Arrow batch, so that a batch of very long texts stays small; and the
+    """Before a step with Python tasks: few rows and bytes in an Arrow batch, so that a batch of very long texts stays small; and the
     workers look for this package where the driver found it (elsewhere it comes with --py-files)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     env = spark.sparkContext.environment
     if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, env.get("PYTHONPATH")]))
