@@ -183,6 +183,9 @@ def test_collect_errors_is_bounded_and_counts_all(spark):
     assert found.rows.where("r is null").count() == 5
     good, bad = policy.quarantine(df, 6, r=policy.divide("a", "b"), c=policy.cast(F.lit("x"), "int"))
     assert good.count() == 0 and bad.count() == 10 and all(len(r["_preview"]) <= 6 for r in bad.collect())
+    good, bad = Dataset(df).with_quarantine("full", lambda c: F.regexp_replace(c, "[0-9]+", "#"), r=policy.divide("a", "b"))
+    assert good.count() == 5 and {r["_preview"] for r in bad.collect()} == {'{"a":#,"b":#}'} and bad.node == "WithPolicy"
+    assert "_preview" not in policy.quarantine(df, None, r=policy.divide("a", "b"))[1].columns
 
 
 def test_tuple_sketch_above_its_size(spark):

@@ -210,8 +210,8 @@ class Dataset:
     def with_collected_errors(self, max_errors: int = 100, **columns: policy.Guarded) -> policy.Collected:
         return policy.collect_errors(self.df, max_errors, **columns)
 
-    def with_quarantine(self, preview: int | None = 120, **columns: policy.Guarded) -> tuple[Dataset, Dataset]:
-        good, bad = policy.quarantine(self.df, preview, **columns)
+    def with_quarantine(self, preview: int | str | None = 120, redact: Callable[[Column], Column] | None = None, **columns: policy.Guarded) -> tuple[Dataset, Dataset]:
+        good, bad = policy.quarantine(self.df, preview, redact, **columns)
         return self._next(good, "WithPolicy"), self._next(bad, "WithPolicy")
 
     def narrow(self, kind: StructType | type) -> Dataset:

@@ -80,10 +80,13 @@ def collect_errors(df: DataFrame, max_errors: int = 100, **columns: Guarded) ->
     return Collected(rows.drop("_row", "_error"), listed[:max_errors], len(listed) > max_errors, by_kind)
 
 
-def quarantine(df: DataFrame, preview: int | None = 120, **columns: Guarded) -> tuple[DataFrame, DataFrame]:
-    """(good rows, failed rows with ``_error`` and, up to ``preview`` characters, ``_preview`` of the row as JSON; None: without)."""
+def quarantine(df: DataFrame, preview: int | str | None = 120, redact: Callable[[Column], Column] | None = None, **columns: Guarded) -> tuple[DataFrame, DataFrame]:
+    """(good rows, failed rows with ``_error`` and ``_preview``: the row as JSON, through ``redact`` and then cut to ``preview``
+    characters; "full" cuts nothing, None leaves the preview out)."""
     rows = guarded(df, **columns)
     bad = rows.where("_error is not null")
     if preview is not None:
-        bad = bad.withColumn("_preview", F.left(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.lit(preview)))
+        shown = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        shown = redact(shown) if redact else shown
+        bad = bad.withColumn("_preview", shown if preview == "full" else F.left(shown, F.lit(preview)))
     return rows.where("_error is null").drop("_error"), bad
