@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import per_text, table
+from weftline.llm.common import per_text, stage, table
 
 Q = 8
 #: Edits allowed, as a share of the item's characters.
@@ -205,5 +205,5 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item (rows without a doc_id stay)."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
+    found = stage(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")  # of a known size: few ids are broadcast
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)

@@ -323,5 +323,6 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component of near copies the document of the smallest doc_id stays (rows of one doc_id stay or go
     together); rows without a doc_id stay."""
-    kept = similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    # the ids that go are staged, so that Spark knows their size: few are broadcast, and the texts are not shuffled
+    gone = stage(similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
