@@ -179,33 +179,49 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-# Near copies at a stated similarity: 64 bits are too few to tell 0.8 from 0.7, so the sketch has WIDE bits.
+# Near copies at a stated similarity: 64 bits are too few to tell 0.8 from 0.7, so the sketch that picks candidates has WIDE_WORDS
+# words, and the shingles themselves decide.
 
 WIDE_WORDS = 4
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 #: Keys of a text, each of KEY_ROWS minima over its shingles; texts of similarity 0.8 share one with a probability of 0.9996.
 KEYS, KEY_ROWS = 20, 5
-#: Members of a group of a cut key that stand for it where the cuts meet.
-STANDING = 4
+#: Standard deviations of the sketches' distance that a candidate may lie beyond the expected one.
+SPARE = 2
+#: Texts of one tile where shingles are compared.
+EXACT_TILE = 512
+#: Candidates whose ids are broadcast to the texts; more meet them in a join.
+BROADCAST_CANDIDATES = 500_000
 _odd = np.random.default_rng(42).integers(0, 1 << 63, KEYS * KEY_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def wide_radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE_WORDS) -> int:
-    """Bits that two sketches of this Jaccard similarity differ in, with two standard deviations to spare: a bit differs with the
+    """Bits that two sketches of this Jaccard similarity differ in, with SPARE standard deviations to spare: a bit differs with the
     probability (angle between the shingle vectors) / pi."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + SPARE * np.sqrt(bits * p * (1 - p)))
 
 
-def wide_sketch(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[list[int], list[int]]:
-    """SimHash of WIDE_WORDS words over distinct shingles, and the keys. A text without words has zeros."""
+def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
     words = text.lower().split() if text else []
     if not words:
-        return [0] * WIDE_WORDS, [0] * KEYS
+        return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
     shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), np.uint64)
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), np.uint64))
+
+
+def set_name(h: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+
+
+def wide_sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """SimHash of WIDE_WORDS words over distinct shingles, and the keys. A text without words has zeros."""
+    if not len(h):
+        return [0] * WIDE_WORDS, [0] * KEYS
     lows = np.full(KEYS * KEY_ROWS, ~np.uint64(0))
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
     for at in range(0, len(h), 4080):
@@ -224,100 +240,168 @@ def wide_sketch(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[list[i
     return np.packbits(2 * ones > len(h)).view(np.int64).tolist(), key.view(np.int64).tolist()
 
 
-def wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, key, node, f0, ...) in the order of unit; key is null where the unit is all of its key. (u, v): spanning stars of the
-    links in each unit; (key, node, f0, ...): nodes that stand for the groups of a unit that is a part of its key."""
-    names = ["u", "v", "key", "node", *(f"f{i}" for i in range(WIDE_WORDS))]
+def near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= radius
+
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= radius
+def sketch_links(left: tuple, right: tuple | None, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning star of the pairs within ``radius`` between two tiles (or within one); a tile is (nodes, sketches)."""
+    def rising(tile: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        weight = np.bitwise_count(tile[1]).sum(axis=1, dtype=np.int64)
+        order = np.argsort(weight, kind="stable")
+        return tile[0][order], tile[1][order], weight[order]
 
-    def links(unit: np.ndarray, key: np.ndarray, part: np.ndarray, node: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ids, x, w = rising(left)
+    others, y, v = (ids, x, w) if right is None else rising(right)
+    a, b = [ids[:0]], [ids[:0]]
+    for i in range(0, len(ids), step):
+        for j in range(i if right is None else 0, len(others), step):
+            if v[j] - w[min(i + step, len(ids)) - 1] > radius:
+                break
+            if w[i] - v[min(j + step, len(others)) - 1] > radius:
+                continue
+            p, q = np.nonzero(near(x[i : i + step, None], y[None, j : j + step], radius))
+            u, r = forest(ids[i : i + step][p], others[j : j + step][q])
+            a.append(u)
+            b.append(r)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of shingles (sorted, distinct) are of ``similarity`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and both / (len(a) + len(b) - both) >= similarity
+
+
+def exact_links(left: tuple, right: tuple | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the parts of the graph of pairs of ``similarity`` between two tiles (or within one); a tile is (nodes, sketches,
+    sets of shingles). Only pairs that other links have joined already are not compared."""
+    ids, x, sets = left if right is None else (np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]]), [*left[2], *right[2]])
+    size = np.array([len(s) for s in sets])
+    part = np.unique(ids, return_inverse=True)[1]
+    first = 0 if right is None else len(left[0])
+    a, b = [], []
+    for i in range(len(left[0])):
+        start = max(first, i + 1)
+        open_ = near(x[start:], x[i], radius) & (part[start:] != part[i]) & (np.minimum(size[start:], size[i]) >= similarity * np.maximum(size[start:], size[i]) - 1e-6)
+        for j in np.flatnonzero(open_) + start:
+            if part[j] != part[i] and alike(sets[i], sets[j], similarity):
+                part[part == part[j]] = part[i]
+                a.append(ids[i])
+                b.append(ids[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def wide_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(u, v): links of rows (unit, side, node, f0, ...) in the order of unit. A run of one unit is one tile (side 0), or a pair of tiles
+    (sides 0 and 1). If rows have sets of shingles too, those decide, else the sketches."""
+
+    def links(unit: np.ndarray, side: np.ndarray, node: np.ndarray, f: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         size = np.diff(np.r_[cuts, len(unit)])
-        run = np.repeat(size, size)
+        pairs = np.add.reduceat(side, cuts) > 0
         a, b = [node[:0]], [node[:0]]
-        for d in range(1, min(SHORT_RUN, len(unit))):
-            i = np.flatnonzero((unit[d:] == unit[:-d]) & (run[d:] <= SHORT_RUN))
-            if not len(i) and d > 1:
-                break
-            i = i[near(f[i + d], f[i])]
-            a.append(node[i + d])
-            b.append(node[i])
-        for at, n in zip(cuts[size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
-            x, ids = f[at : at + n], node[at : at + n]
-            weight = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-            order = np.argsort(weight, kind="stable")
-            x, ids, weight = x[order], ids[order], weight[order]
-            for i in range(0, n, 256):
-                for j in range(i, n, 256):
-                    if weight[j] - weight[min(i + 255, n - 1)] > radius:
-                        break
-                    p, q = np.nonzero(near(x[i : i + 256, None], x[None, j : j + 256]))
-                    u, r = forest(ids[i : i + 256][p], ids[j : j + 256][q])
-                    a.append(u)
-                    b.append(r)
-        u, v = forest(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (node[:0], node[:0])
-        nulls = pa.nulls(len(u), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[nulls] * (2 + WIDE_WORDS)], names)
-        i = np.flatnonzero(part)
-        if len(i):
-            at = np.searchsorted(u, node[i]) if len(u) else np.zeros(len(i), np.int64)
-            linked = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == node[i]) if len(u) else np.zeros(len(i), bool)
-            root = np.where(linked, v[np.minimum(at, len(u) - 1)] if len(u) else node[i], node[i])
-            order = np.lexsort((node[i], root, unit[i]))
-            new = np.r_[True, (root[order][1:] != root[order][:-1]) | (unit[i][order][1:] != unit[i][order][:-1])]
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-            i = i[order[rank < STANDING]]
-            nulls = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(key[i]), pa.array(node[i]), *(pa.array(f[i, w].view(np.int64)) for w in range(WIDE_WORDS))], names)
-
-    kept: list[tuple[np.ndarray, ...]] = []
+        short = (size <= SHORT_RUN) & ~pairs & (not sets)
+        if short.any():
+            run = np.repeat(np.where(short, 0, SHORT_RUN + 1), size)
+            for d in range(1, min(SHORT_RUN, len(unit))):
+                i = np.flatnonzero((unit[d:] == unit[:-d]) & (run[d:] <= SHORT_RUN))
+                if not len(i):
+                    break
+                i = i[near(f[i + d], f[i], radius)]
+                a.append(node[i + d])
+                b.append(node[i])
+        for at, n, pair in zip(cuts[~short], size[~short], pairs[~short], strict=True):
+            rows = np.arange(at, at + n)
+            tiles = [rows[side[rows] == 0], rows[side[rows] == 1]] if pair else [rows]
+            if not len(tiles[0]):
+                continue
+            left, *right = ((node[t], f[t], [sets[k] for k in t] if sets else []) for t in tiles)
+            other = right[0] if pair else None
+            u, r = exact_links(left, other, radius, similarity) if sets else sketch_links(left, other, radius)
+            a.append(u)
+            b.append(r)
+        u, v = forest(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    kept: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         f = np.stack([batch.column(3 + w).to_numpy() for w in range(WIDE_WORDS)], 1).view(np.uint64)
-        now = (batch.column(0).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy(), pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), f)
-        unit, key, part, node, f = (np.concatenate(x) for x in zip(*kept, now, strict=True))
+        sets: list[np.ndarray] = []
+        if batch.num_columns > 3 + WIDE_WORDS:
+            lists = batch.column(3 + WIDE_WORDS)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sets = [values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        kept.append((*(batch.column(i).to_numpy() for i in range(3)), f, sets))
+        if kept[0][0][0] == kept[-1][0][-1]:
+            continue  # one run so far
+        unit, side, node, f = (np.concatenate(c) for c in list(zip(*kept, strict=True))[:4])
+        sets = [s for k in kept for s in k[4]]
         last = int(np.searchsorted(unit, unit[-1]))  # the last run may go on in the next batch
-        if last:
-            yield from links(unit[:last], key[:last], part[:last], node[:last], f[:last])
-        kept = [(unit[last:], key[last:], part[last:], node[last:], f[last:])]
+        yield links(unit[:last], side[:last], node[:last], f[:last], sets[:last])
+        kept = [(unit[last:], side[last:], node[last:], f[last:], sets[last:])]
     if kept:
-        yield from links(*kept[0])
+        unit, side, node, f = (np.concatenate(c) for c in list(zip(*kept, strict=True))[:4])
+        yield links(unit, side, node, f, [s for k in kept for s in k[4]])
+
+
+def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1) -> DataFrame:
+    """(u, v): links that join all rows (key, node, f0, ..., sets of shingles or none) of one key that links of any two of them join.
+    A key of more than ``tile`` rows is dealt to cuts, each compared in itself. Then all that a key still has to compare are pairs of
+    different components: the rows outside of its largest one against all, in tile pairs. So a large group of copies costs in
+    proportion to its size, and no pair of a key is left out."""
+    own = rows.columns[2:]
+    radius = wide_radius(similarity)
+    sizes = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
+    bound_batches(rows.sparkSession, 10_000)
+
+    def dealt(met: DataFrame) -> DataFrame:
+        return stage(met.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: wide_links(batches, radius, similarity), "u long, v long"), "wide-links")
+
+    sized = rows.join(sizes, "key").withColumn("cuts", F.ceil(F.col("n") / tile))
+    if deals > 1:
+        sized = sized.withColumn("deal", F.explode(F.when(F.col("cuts") > 1, F.sequence(F.lit(1), F.lit(deals))).otherwise(F.array(F.lit(1)))))
+    else:
+        sized = sized.withColumn("deal", F.lit(1))
+    cut = F.pmod(F.xxhash64("node", "key", "deal"), F.col("cuts"))
+    first = dealt(sized.select(F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal", cut)).alias("unit"), F.lit(0).alias("side"), "node", *own))
+    large = sizes.where(F.col("n") > tile).select("key")
+    if large.isEmpty():
+        return first
+    labelled = rows.join(large, "key").join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    groups = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).withColumn("m", F.col("n") - F.col("top.n"))
+    tops = stage(tops.where("m > 0").select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") / tile).alias("cuts"), F.ceil(F.col("m") / tile).alias("others")), "wide-tops")
+    if tops.isEmpty():
+        return first
+    open_ = labelled.join(tops, "key")
+    a, b = F.pmod(F.xxhash64("node", "key"), F.col("cuts")), F.pmod(F.xxhash64("node", "key"), F.col("others"))
+    left = open_.select("key", a.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("b"), F.lit(0).alias("side"), "node", *own)
+    right = open_.where("label <> top").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("a"), b.alias("b"), F.lit(1).alias("side"), "node", *own)
+    return first.union(dealt(left.union(right).select(F.xxhash64("key", "a", "b").alias("unit"), "side", "node", *own)))
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id): components of texts whose sketches say that they are of ``similarity`` or more. Texts meet under keys of
-    minima; under a key they are compared exactly, tile by tile. A key of more than ``tile`` sketches is cut by hash: each cut is
-    compared in itself, then members that stand for the groups of each cut are compared with one another."""
-    radius = wide_radius(similarity)
+    minima.
+    Equal sketches are one row throughout."""
     f = [f"f{i}" for i in range(WIDE_WORDS)]
-    schema = "doc_id long, " + ", ".join(f"{x} long" for x in f) + ", keys array<long>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    words = ", ".join(f"{x} long" for x in f)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [wide_sketch(t, shingle) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+        sets = [shingle_hashes(t, shingle) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+        made = [wide_sketch(h) for h in sets]
         cols = [pa.array([m[0][w] for m in made], pa.int64()) for w in range(WIDE_WORDS)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", *f, "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_name, sets), pa.int64()), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "name", *f, "keys"])
 
-    sketches = stage(per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), run, schema), "sketches")
+    sketches = stage(per_text(texts, run, f"doc_id long, name long, {words}, keys array<long>"), "sketches")
     distinct = stage(sketches.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
-    keyed = distinct.select("node", *f, F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = F.when(F.col("n") > tile, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)))
-    met = keyed.join(sizes, "key").withColumn("cut", cut).select(F.when(F.col("cut").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cut")).alias("unit"), F.when(F.col("cut").isNotNull(), F.col("key")).alias("key"), "node", *f)
-    out = "u long, v long, key long, node long, " + ", ".join(f"{x} long" for x in f)
-    bound_batches(docs.sparkSession, 10_000)
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return stage(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: wide_links(batches, radius), out), "wide-links")
-
-    first = dealt(met)
-    second = dealt(first.where("node is not null").select(F.col("key").alias("unit"), F.lit(None).cast("long").alias("key"), "node", *f))
-    edges = first.where("u is not null").select("u", "v").union(second.where("u is not null").select("u", "v"))
-    roots = components(edges)  # the root is a component's smallest node, and a node is the smallest doc_id of its sketch
-    nodes = distinct.join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("component_id"))
-    return sketches.join(nodes, f).select("doc_id", "component_id")
+    roots = components(key_links(distinct.select(F.explode("keys").alias("key"), "node", *f), similarity, tile))
+    found = distinct.select(*f, "node").join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("component_id"))
+    return sketches.select("doc_id", *f).join(found, f).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
