@@ -386,7 +386,7 @@ def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1) ->
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id): components of texts whose sketches say that they are of ``similarity`` or more. Texts meet under keys of
     minima.
-    Equal sketches are one row throughout."""
+    Texts of equal sets are one row throughout."""
     f = [f"f{i}" for i in range(WIDE_WORDS)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     words = ", ".join(f"{x} long" for x in f)
@@ -398,10 +398,11 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_name, sets), pa.int64()), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "name", *f, "keys"])
 
     sketches = stage(per_text(texts, run, f"doc_id long, name long, {words}, keys array<long>"), "sketches")
-    distinct = stage(sketches.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
+    # a set has one sketch and one list of keys, so any of them will do
+    distinct = stage(sketches.groupBy("name", *f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
     roots = components(key_links(distinct.select(F.explode("keys").alias("key"), "node", *f), similarity, tile))
-    found = distinct.select(*f, "node").join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("component_id"))
-    return sketches.select("doc_id", *f).join(found, f).select("doc_id", "component_id")
+    found = distinct.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
+    return sketches.select("doc_id", "name").join(found, "name").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
