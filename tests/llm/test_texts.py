@@ -130,6 +130,38 @@ def test_near_copies_at_a_similarity(spark, tile):
     assert got == {d: first[g] for d, g in group.items()} | {len(rows) - 1: len(rows) - 1}
 
 
+def jaccard(a: str, b: str) -> float:
+    a, b = a.split(), b.split()
+    x, y = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def revised(rnd, words: list[str], edits: int) -> list[str]:
+    copy = list(words)
+    for i in rnd.sample(range(10, 190), edits):
+        copy[i] = "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    return copy
+
+
+@pytest.mark.parametrize("tile", [2048, 6])
+def test_components_are_those_of_the_shingles(spark, tile):
+    """Texts of 0.55 to 0.79 are no near copies, however close their sketches; chains of revisions are one component."""
+    import random
+
+    rnd = random.Random(5)
+    rows: list[str] = []
+    for _ in range(6):
+        base = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+        rows += [" ".join(revised(rnd, base, rnd.choice([2, 4, 5, 6, 7]))) for _ in range(12)]
+        for _ in range(6):
+            base = revised(rnd, base, 3)
+            rows.append(" ".join(base))
+    ids = list(range(len(rows)))
+    want = components(ids, lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
+    df = spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(df, tile=tile).collect()} == want
+
+
 @pytest.mark.parametrize("tile", [2048, 8])
 def test_every_pair_of_a_large_key_is_compared(spark, tile):
     """Two groups of one key that only two members link, whatever their places in the groups."""

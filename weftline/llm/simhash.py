@@ -188,7 +188,7 @@ WIDE_SHINGLE = 5
 #: Keys of a text, each of KEY_ROWS minima over its shingles; texts of similarity 0.8 share one with a probability of 0.9996.
 KEYS, KEY_ROWS = 20, 5
 #: Standard deviations of the sketches' distance that a candidate may lie beyond the expected one.
-SPARE = 2
+SPARE = 4
 #: Texts of one tile where shingles are compared.
 EXACT_TILE = 512
 #: Candidates whose ids are broadcast to the texts; more meet them in a join.
@@ -384,8 +384,8 @@ def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1) ->
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id): components of texts whose sketches say that they are of ``similarity`` or more. Texts meet under keys of
-    minima.
+    """(doc_id, component_id): components of texts whose sets of word shingles are of ``similarity`` or more. Texts meet under keys of
+    minima, and sketches close to one another make them candidates; within the components of the candidates the shingles decide.
     Texts of equal sets are one row throughout."""
     f = [f"f{i}" for i in range(WIDE_WORDS)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -401,6 +401,21 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     # a set has one sketch and one list of keys, so any of them will do
     distinct = stage(sketches.groupBy("name", *f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
     roots = components(key_links(distinct.select(F.explode("keys").alias("key"), "node", *f), similarity, tile))
+    roots = roots.union(roots.select("root", "root").distinct())
+    nodes = distinct.select("node", "name", *f)
+    candidates = stage(nodes.join(roots, "node").select("node", F.col("name").alias("of"), F.col("root").alias("key"), *f), "candidates")
+    few = candidates.count() <= BROADCAST_CANDIDATES
+    met = texts.join(F.broadcast(candidates) if few else candidates, F.col("doc_id") == F.col("node")).select("text", "of", "key", "node", *f)
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, shingle) for t in pc.cast(batch.column(0), pa.binary()).to_pylist()]
+        own = pa.array([set_name(h) == n for h, n in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # rows of one doc_id may differ in text
+        lists = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[2:], lists], ["key", "node", *f, "shingles"]).filter(own)
+
+    sets = stage(per_text(met, shingles, f"key long, node long, {words}, shingles array<long>"), "shingle-sets")
+    # two deals, so that the cuts of a large group of copies are joined through one another
+    roots = components(key_links(sets, similarity, min(tile, EXACT_TILE), 2))  # the root is a component's smallest node, and a node is the smallest doc_id of its set
     found = distinct.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
     return sketches.select("doc_id", "name").join(found, "name").select("doc_id", "component_id")
 
