@@ -109,6 +109,27 @@ def test_line_dedup(spark, lined, limit):
     assert not any(dropped[100 + i] for i in range(40))  # copies of one document are no template
 
 
+def dropped(spark, rows: list[str]) -> list[int]:
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.n_dropped for r in line_dedup.dropped_lines(df).collect()}
+    return [found[i] for i in range(len(rows))]
+
+
+def bodies(rnd, n: int, words: int = 60) -> list[str]:
+    """Different texts of few words that are the longest of all, so that longest tokens are few."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    return ["\n".join(" ".join(word() for _ in range(words // 4)) for _ in range(3)) + f"\n{'x' * 20}{'abcdefghijkl'[i % 12]} {word()} {word()} {word()}" for i in range(n)]
+
+
+def test_lines_of_copied_documents(spark):
+    """A line of many different documents goes, however often one of them is copied and however few the longest tokens are."""
+    rnd = random.Random(11)
+    one, *others = bodies(rnd, 60)
+    licence = "this text may be used under the licence"
+    rows = [f"{t}\n{licence}" for t in others] + [f"{one}\n{licence}"] * 300 + [f"{one}\n{licence}\nrevised {i} {t[:5]}" for i, t in enumerate(others)]
+    assert dropped(spark, rows) == [1] * len(rows)
+
+
 def test_clean_lines_keeps_columns(spark, lined):
     docs = spark.createDataFrame([(d, t, len(t or ""), 5, "x") for d, t in lined], "doc_id long, text string, n_chars long, n_lines int, n_dropped string")
     out = line_dedup.clean_lines(docs)
