@@ -130,6 +130,13 @@ def test_lines_of_copied_documents(spark):
     assert dropped(spark, rows) == [1] * len(rows)
 
 
+def test_lines_that_recur_together(spark):
+    """A footer of several lines goes, though it holds the longest token of all its documents."""
+    rnd = random.Random(12)
+    footer = "all of the rights are reserved\nsee https://www.example.org/terms-and-conditions for the terms\nthis page has been made by hand"
+    assert dropped(spark, [f"{t}\n{footer}" for t in bodies(rnd, 30)]) == [3] * 30
+
+
 def test_clean_lines_keeps_columns(spark, lined):
     docs = spark.createDataFrame([(d, t, len(t or ""), 5, "x") for d, t in lined], "doc_id long, text string, n_chars long, n_lines int, n_dropped string")
     out = line_dedup.clean_lines(docs)
