@@ -137,6 +137,19 @@ def test_lines_that_recur_together(spark):
     assert dropped(spark, [f"{t}\n{footer}" for t in bodies(rnd, 30)]) == [3] * 30
 
 
+def test_passages_of_few_documents(spark):
+    """A long line in 3 to 9 different documents goes, one in 2 stays; so does a short one in 9."""
+    rnd = random.Random(13)
+    texts = bodies(rnd, 51, 240)
+    rows, want = [], []
+    for n in (2, 3, 5, 9):
+        passage = " ".join("".join(rnd.choice("klmnopqr") for _ in range(6)) for _ in range(55))
+        rows += [f"{texts.pop()}\n{passage}" for _ in range(n)]
+        want += [int(n > 2)] * n
+    rows += [f"{texts.pop()}\nend of page" for _ in range(9)]
+    assert dropped(spark, rows) == want + [0] * 9
+
+
 def test_clean_lines_keeps_columns(spark, lined):
     docs = spark.createDataFrame([(d, t, len(t or ""), 5, "x") for d, t in lined], "doc_id long, text string, n_chars long, n_lines int, n_dropped string")
     out = line_dedup.clean_lines(docs)

@@ -5,8 +5,9 @@ with a digit as the variable field <*>. A line of GENERAL_TOKENS or more also ha
 quarter of the remaining tokens as one variable field, so lines that differ inside one quarter meet in a template. Templates
 are named by 64-bit hashes of their path, so the tree is the grouping of lines by name and needs no order of arrival.
 
-A template recurs, and its lines are dropped, if it stands in documents of at least MIN_FAMILIES copy classes, however many
-documents those are. A copy class is a component of documents whose sets of five-word shingles are of COPY_SIMILARITY or more:
+A template recurs, and its lines are dropped, if it stands in documents of at least MIN_FAMILIES copy classes, or of
+LONG_CLASSES if it has LONG_TOKENS or more, as no such line is twice the same by accident; however many documents those are.
+Two documents alone cannot be told from one and a text that quotes it, so their lines stay. A copy class is a component of documents whose sets of five-word shingles are of COPY_SIMILARITY or more:
 copies and revisions of one document count once, so their text is not taken for boilerplate, and lines that recur together in
 otherwise different documents leave those in classes of their own.
 
@@ -36,6 +37,8 @@ from weftline.llm.simhash import similar_components
 MIN_TOKENS = 3
 GENERAL_TOKENS = 12
 MIN_FAMILIES = 10
+LONG_TOKENS = 8
+LONG_CLASSES = 3
 #: The bound of the former rule on families (see counted), which nothing but its test uses.
 COPIES = 4
 COPY_SIMILARITY = 0.5
@@ -50,7 +53,7 @@ def lead(tokens: list[str]) -> int:
 
 
 def templates(tokens: list[str]) -> list[int]:
-    """The names of a line's templates, from its masked tokens: its own, then the generalised ones."""
+    """The names of a line's templates, from its masked tokens: its own, then the generalised ones. The lowest bit says that it is long."""
     n = len(tokens)
     if n < MIN_TOKENS:
         return []
@@ -58,7 +61,7 @@ def templates(tokens: list[str]) -> list[int]:
     rest = tokens[2:]
 
     def name(below: str) -> int:
-        return head | xxhash.xxh64_intdigest(path + below) >> 16
+        return head | xxhash.xxh64_intdigest(path + below) >> 16 & ~1 | (n >= LONG_TOKENS)
 
     if n < GENERAL_TOKENS:
         return [name(" ".join(rest))]
@@ -102,7 +105,7 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = per_text(texts, run, "doc_id long, templates array<long>").groupBy("doc_id").agg(F.first("templates").alias("templates"))
     classed = rows.join(copies, "doc_id", "left").select(F.explode("templates").alias("template"), F.coalesce("component_id", "doc_id").alias("class"))
     counts = classed.distinct().groupBy("template").agg(F.count(F.lit(1)).alias("classes"))
-    return counts.where(f"classes >= {MIN_FAMILIES}").select("template")
+    return counts.where(f"classes >= if((template & 1) = 1, {LONG_CLASSES}, {MIN_FAMILIES})").select("template")
 
 
 def without(text: str, drop: frozenset[int], leads: frozenset[int]) -> tuple[str, int]:
