@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +27,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (local mode)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, else the folder given to
+    SparkContext.setCheckpointDir. Where neither is set, local mode gets a folder of its own; a cluster gets an error."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: stages are written there")
         where = tempfile.mkdtemp(prefix="spark-weftline-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
+        sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@lru_cache(maxsize=64)
+def staged_dir(app: str, where: str) -> str:
+    """The folder of an application's staged tables, which goes when the driver's Python ends: results have been written by then."""
+    path = f"{where}/weftline/{app}"
+    spark = SparkSession.active()
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone before
+            delete(spark, path)
+
+    atexit.register(drop)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage so that lost executors cost no rework."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark.sparkContext.applicationId, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, file.rpartition("/")[0])
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before a step with Python tasks: few rows and bytes in an Arrow batch, so that a batch of very long texts stays small; and the
-    workers look for this package where the driver found it (elsewhere it comes with --py-files)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def python_tasks(spark: SparkSession) -> None:
+    """Before a step with Python tasks: Arrow batches are bound by bytes, so that a batch of very long texts stays small (one
+    constant for the session, unless it has its own); and the workers look for this package where the driver found it (elsewhere
+    it comes with --py-files)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     env = spark.sparkContext.environment
     if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, env.get("PYTHONPATH")]))
 
 
-def per_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of ``df``."""
-    bound_batches(df.sparkSession)
+def per_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
+    """``fn`` over Arrow batches of ``df`` of at most ``rows`` rows."""
+    python_tasks(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 
