@@ -4,7 +4,7 @@ Texts are tokenised once; only a text longer than a sequence is cut, its first p
 piece fills a sequence alone. What is left to pack is a histogram: how many pieces have each length below the capacity. That
 has at most ``capacity`` bars at any corpus size and is all that reaches the driver. Patterns of one to four pieces whose lengths add
 up to (nearly) the capacity are enumerated from the bars, repeat counts are fitted to the histogram by non-negative least squares,
-rounded down, and the residual is packed best fit, bar by bar. Pieces are then dealt to the slots of the patterns by their
+a share of them is rounded down, and the residual is packed best fit, bar by bar. Pieces are then dealt to the slots of the patterns by their
 rank within their length. That rank is (pieces of the length in earlier parts) + (rank within the part), so no length, however
 frequent, is ever gathered in one task.
 
@@ -21,10 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, stage, table
+from weftline.llm.common import python_tasks, stage, table
 from weftline.llm.token_counts import PLAIN, byte_letters, vocabulary_path
 
 CAPACITY = 1024
@@ -32,8 +32,10 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: The split of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Patterns that the fit may use.
-PATTERNS = 12_000
+#: Shares of the fitted counts that are tried.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+#: Rows of (length, part, pieces) that are broadcast, a few MB; more meet the pieces in a merge join.
+BROADCAST_PARTS = 500_000
 
 
 class Encoder:
@@ -66,7 +68,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, doc_id, piece, start, length, ids_crc32, nth): nth counts the pieces of this length within the task ``part``."""
-    bound_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     schema = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +95,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def patterns(hist: np.ndarray, capacity: int, most: int = PATTERNS) -> np.ndarray:
+def patterns(hist: np.ndarray, capacity: int) -> np.ndarray:
     """Rows of four lengths (0: none) that add up to the capacity, or to as much as the bars of the histogram allow: for a
-    pair, triple or quadruple, all but the last length are taken from the bars and the last is the longest bar that still fits."""
+    pair, triple or quadruple, all but the last length are taken from the bars and the last is the longest bar that still fits.
+    Every bar is in a single and a pair; their number is bound by the choice of bars, some 17,000 at a capacity of 1,024."""
     bars = np.flatnonzero(hist)
     bars = bars[(bars > 0) & (bars < capacity)]
     if not len(bars):
@@ -115,8 +118,7 @@ def patterns(hist: np.ndarray, capacity: int, most: int = PATTERNS) -> np.ndarra
             mesh, left = mesh[left > 0], left[left > 0]
             rows.append(np.concatenate([mesh, fits[left][:, None], np.zeros((len(mesh), 4 - k), np.int64)], 1))
     found = np.unique(-np.sort(-np.concatenate(rows), axis=1), axis=0)
-    full = found.sum(1)
-    return found[np.argsort(-full, kind="stable")[:most]]
+    return found[np.argsort(-found.sum(1), kind="stable")]
 
 
 def fit(rows: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -143,25 +145,29 @@ def fit(rows: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 def plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeats) that hold exactly the histogram's pieces; its size is bound by the capacity, not by the corpus."""
-    left = hist.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    rows = patterns(left, capacity)
-    counts = fit(rows, left)
-    order = np.lexsort((-counts, -rows.sum(1)))
-    for i in order:
-        if rows[i].sum() < capacity - 2:
-            continue
-        lengths = tuple(int(v) for v in rows[i] if v)
-        many = int(min(counts[i], min(left[v] // lengths.count(v) for v in lengths)))
-        if many > 0:
-            out.append((lengths, many))
-            for v in lengths:
-                left[v] -= many
-    return out + best_fit(left, capacity)
+    """(lengths of a sequence, repeats) that hold exactly the histogram's pieces; its size is bound by the capacity, not by the corpus.
+    Patterns that fill the capacity take a share of their fitted counts, rounded down, and best fit packs the residual, which packs
+    the better the more is left of it: of the plans with the SHARES, the one of the fewest sequences is kept."""
+    below = hist.astype(np.int64).copy()
+    full = [((capacity,), int(below[capacity]))] if below[capacity] else []
+    below[capacity] = 0
+    rows = patterns(below, capacity)
+    rows = rows[rows.sum(1) == capacity]
+    counts = fit(rows, below)
+    order = np.argsort(-counts, kind="stable")
+
+    def made(share: float) -> list[tuple[tuple[int, ...], int]]:
+        left, out = below.copy(), []
+        for i in order:
+            lengths = tuple(int(v) for v in rows[i] if v)
+            many = int(min(share * counts[i], min(left[v] // lengths.count(v) for v in lengths)))
+            if many > 0:
+                out.append((lengths, many))
+                for v in lengths:
+                    left[v] -= many
+        return out + best_fit(left, capacity)
+
+    return full + min(map(made, SHARES), key=lambda plan: sum(many for _, many in plan))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -204,15 +210,17 @@ def slots(made: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, n
     return {"length": a[:, 0], "first": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(rows: DataFrame, capacity: int = CAPACITY, broadcast_limit: int = BROADCAST_PARTS) -> DataFrame:
     """Staged pieces with sequence_id and offset."""
     counts = stage(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "histogram")
     hist = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
         hist[length] = n
     where = slots(plan(hist, capacity), capacity)
-    earlier = F.sum("n").over(_by_part()) - F.col("n")
-    ranked = rows.join(counts.select("length", "part", earlier.alias("earlier")), ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    earlier = F.broadcast(earlier) if counts.count() <= broadcast_limit else earlier.hint("merge")
+    ranked = rows.join(earlier, ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
     span = int(max(hist.max(), 1))
     keys = where["length"] * span + where["first"]  # in order, as the slots are
 
@@ -223,16 +231,10 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(where["sequence"][i] + rank - where["first"][i]), pa.array(where["offset"][i])], [*names, "sequence_id", "offset"])
 
-    bound_batches(rows.sparkSession, 10_000)
+    python_tasks(rows.sparkSession)
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     return packed(stage(pieces(docs, path, capacity, end, doc_id, text), "pieces"), capacity)
