@@ -1,18 +1,20 @@
 """Exact removal of repeated strings (operator 6) by bucket-pointer refinement over sampled suffixes.
 
-The names of q-grams are refined by doubling: the name of 2q bytes at a place is made of the names of q bytes there and q bytes
-later, and each round reuses the names that the round before it made. Sorting all suffixes of a corpus is avoided by sampling: every
+Sorting all suffixes of a corpus is avoided by sampling: every
 window of LENGTH bytes owns the suffix at its smallest q-gram name (the leftmost of equals). That choice depends on the
 window's bytes alone, so equal windows own suffixes of one bucket, at one offset. A suffix's region is what its windows cover.
 
 1. Initial buckets: the q-gram names at the sampled suffixes are counted over the corpus. Buckets of one suffix are done.
 2. A bucket whose suffixes all have one region name is done too: all of it is repeated.
-3. In the other buckets regions are refined: a window's name is made of the bucket pointers at its later offsets, and windows of
-   one bucket, offset and name are equal. A bucket of more than HOT_REGIONS regions is refined by counting names of blocks of
-   windows, then of the windows of the blocks at the ends of what is repeated; the others each in one pass of a task.
+3. The other buckets are refined by bucket pointers: the suffixes of their bytes start in exact buckets of GRAM_BYTES bytes; each
+   round sorts those of a bucket on the identifiers of the buckets at a later offset, renumbers them and doubles the offset; the
+   next round reuses the new identifiers, until they stand for LENGTH bytes. Suffixes alone in their bucket leave the rounds.
+4. A bucket of more than HOT_REGIONS regions is too large for a task: names of blocks of its windows are counted, then of the
+   windows of the blocks at the ends of what is repeated; all counts are combined before a shuffle.
 
-A region's repeated windows overlap, so they are one span; spans join the texts again by document. Names are 64-bit hashes used
-within a bucket of its own 64-bit name, so two different strings are taken for equal with a probability of about 2**-100 a pair.
+A region's repeated windows overlap, so they are one span; spans join the texts again by document. Step 3 compares bytes. Steps 1, 2
+and 4 use 64-bit names made by doubling, within a bucket of its own 64-bit name, so two different strings are taken for equal
+with a probability of about 2**-100 a pair.
 
 Defined results: a null text counts as empty (0 bytes, nothing removed, the hash of no bytes); a text shorter than LENGTH loses nothing;
 repeated rows are each other's copies and lose all that lies in windows; an empty table gives an empty result; further columns of the
@@ -30,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, per_text, stage, table
+from weftline.llm.common import per_text, python_tasks, stage, table
 
 LENGTH = 200
 GRAM = 48
 WINDOWS = LENGTH - GRAM + 1
-HOT_REGIONS = 2_000
+GRAM_BYTES = 8
+HOT_REGIONS = 500
 BLOCK_OFFSETS = 16
 BROADCAST_BUCKETS = 4_000_000
 #: Bytes of documents that are looked at together, and of a long document's block.
@@ -135,7 +138,7 @@ def longs(values: np.ndarray) -> pa.Array:
 
 def initial_buckets(texts: DataFrame) -> DataFrame:
     """(bucket, several): the buckets of two suffixes or more; several: they have more than one region name."""
-    bound_batches(texts.sparkSession)
+    python_tasks(texts.sparkSession)
 
     def combined(found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         bucket, region = (np.concatenate([f[k] for f in found]).view(np.int64) for k in ("bucket", "region"))
@@ -168,7 +171,7 @@ def members(rows: DataFrame, broadcast) -> DataFrame:
     Rows with ``bucket`` null: a repeated span from ``first`` to ``last``. Others: a suffix of a bucket to refine, its windows' first
     and last place, and in one row a task and region the region's ``bytes`` with the place in it and the count of its rows here."""
     schema = "doc long, hash long, bucket long, region long, first long, last long, place int, n long, bytes binary"
-    bound_batches(rows.sparkSession)
+    python_tasks(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,16 +228,36 @@ def members(rows: DataFrame, broadcast) -> DataFrame:
 NAMES = ["doc", "hash", "bucket", "region", "first", "last", "place", "n", "bytes"]
 
 
-def windows_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with bytes, last and place: each window's row, start in the region, offset of the suffix, and name."""
+def bucket_pointers(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of each place with ``length`` bytes: the identifier of its bucket, which is the same for the same bytes and no others."""
+    gram = data[: len(data) - GRAM_BYTES + 1].astype(U)
+    for i in range(1, GRAM_BYTES):
+        gram = gram << U(8) | data[i : len(data) - GRAM_BYTES + 1 + i]
+    pointer = np.unique(gram, return_inverse=True)[1]
+    known, top = GRAM_BYTES, len(data)  # bytes the pointers stand for, and a number above all of them
+    while known < length:
+        later = min(known, length - known)
+        pointer, at = pointer[: len(pointer) - later].copy(), pointer[later:]
+        active = np.flatnonzero(np.bincount(pointer)[pointer] > 1)  # the others are alone in their buckets, and stay so
+        _, renumbered = np.unique(pointer[active] * top + at[active], return_inverse=True)
+        settled = np.ones(len(pointer), bool)
+        settled[active] = False
+        pointer[active] = renumbered
+        pointer[settled] = np.arange(len(pointer) - len(active)) + (renumbered.max() + 1 if len(active) else 0)
+        known += later
+    return pointer
+
+
+def windows_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with bytes, last and place: each window's row, start in the region, offset of the suffix and place in the joined bytes,
+    and those bytes."""
     texts = batch.column("bytes").to_pylist()
     last, place = batch.column("last").to_numpy().astype(np.int64), batch.column("place").to_numpy().astype(np.int64)
     begins = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]].astype(np.int64)
     many = last + 1
     row = np.repeat(np.arange(len(texts)), many)
     start = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    names = doubled(np.frombuffer(b"".join(texts), np.uint8))
-    return row, start, place[row] - start, window_names(names, begins[row] + start)
+    return row, start, place[row] - start, begins[row] + start, np.frombuffer(b"".join(texts), np.uint8)
 
 
 def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +269,22 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, r = bucket[order], region[order]
         cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (r[1:] != r[:-1])])
         weight = np.add.reduceat(n[order], cuts)
-        t = t.take(pa.array(order[cuts]))
-        row, start, offset, name = windows_of(t)
-        key = name_of(name_of(b[cuts].view(U)[row], offset.astype(U)), name)
-        _, which = np.unique(key, return_inverse=True)
-        twice = np.bincount(which, weight[row])[which] > 1
-        row, start = row[twice], start[twice]
-        new = np.flatnonzero(np.r_[len(row) > 0, row[1:] != row[:-1]])
-        tail = np.r_[new[1:], len(row)] - 1
-        i = row[new]
-        return pa.RecordBatch.from_arrays([longs(b[cuts][i]), longs(r[cuts][i]), longs(start[new]), longs(start[tail] if len(new) else start)], ["bucket", "region", "lo", "hi"])
+        t, b, r = t.take(pa.array(order[cuts])), b[cuts], r[cuts]
+        # whole buckets of moderate size together, so that the sorts stay small
+        room = np.cumsum(t.column("last").to_numpy()) // (GROUP_BYTES // 2)
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        first = first[np.r_[True, room[first[1:]] != room[first[:-1]]]]
+        found = []
+        for lo, hi in zip(first, np.r_[first[1:], len(b)], strict=True):
+            row, start, _, at, data = windows_of(t.slice(lo, hi - lo))
+            which = bucket_pointers(data)[at]
+            twice = np.bincount(which, weight[lo + row])[which] > 1
+            row, start = row[twice], start[twice]
+            if len(row):
+                new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                found.append((lo + row[new], start[new], start[np.r_[new[1:], len(row)] - 1]))
+        i, low, high = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (first[:0],) * 3
+        return pa.RecordBatch.from_arrays([longs(b[i]), longs(r[i]), longs(low), longs(high)], ["bucket", "region", "lo", "hi"])
 
     kept: pa.Table | None = None
     for batch in batches:
@@ -280,7 +309,7 @@ def refined_hot(regions: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, start, offset, _ = windows_of(batch)
+            row, start, offset, _, _ = windows_of(batch)
             block = offset // BLOCK_OFFSETS
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])  # offsets fall as starts rise
             tail = np.r_[new[1:], len(row)] - 1
@@ -299,7 +328,8 @@ def refined_hot(regions: DataFrame) -> DataFrame:
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, start, offset, name = windows_of(batch)
+                row, start, offset, at, data = windows_of(batch)
+                name = window_names(doubled(data), at)
                 own = batch.column("blocks")
                 wanted = np.concatenate([x.as_py() for x in own]) + 1024 * np.repeat(np.arange(batch.num_rows), [len(x) for x in own])
                 keep = np.isin(row * 1024 + offset // BLOCK_OFFSETS, wanted)
@@ -336,7 +366,7 @@ def repeated_spans(texts: DataFrame, broadcast_limit: int = BROADCAST_BUCKETS, h
     found = stage(found, "members")
     regions = found.where("bytes is not null").select("bucket", "region", "last", "place", "n", "bytes")
     sizes = regions.groupBy("bucket").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > hot).select("bucket")
-    bound_batches(spark, 4096)
+    python_tasks(spark)
     if sizes.isEmpty():
         spans = regions.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refined, "bucket long, region long, lo long, hi long")
     else:
@@ -351,7 +381,7 @@ def repeated_spans(texts: DataFrame, broadcast_limit: int = BROADCAST_BUCKETS, h
 
 def with_buckets(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """``texts`` with the list ``own`` of their buckets of two suffixes or more, for more buckets than are broadcast."""
-    bound_batches(texts.sparkSession)
+    python_tasks(texts.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
