@@ -6,7 +6,8 @@ stands next to that prefix's last token when the two are merged alone. ``counts[
 gives every prefix's count in one pass. Pieces are independent (the vocabulary's own split), so a text's prefix counts are
 running sums; each distinct piece is solved once in a task and remembered (a bounded table).
 
-Truncation and budgets are read from the counts: ``budget_cut`` is the longest prefix within a budget, without encoding again.
+Truncation and budgets are read from the counts: ``budget_cut`` is the longest prefix within a budget, without encoding again. It
+needs the counts before each piece and, of the piece in which the budget ends, those of all its prefixes; ``prefixes`` gives all.
 
 Texts outside a plain alphabet, or with special strings, take the library's own normaliser and split; special strings are
 handled as the library does by default (each is one token). Positions are then those of the normalised text.
@@ -154,13 +155,15 @@ class PrefixCounter:
                     count.append(count[i] + 1)
                     break
             else:
-                raise ValueError("the vocabulary lacks a byte")
+                raise ValueError(f"the vocabulary has no token that ends the prefix {s[: j + 1]!r}: it lacks a byte")
         out = []
         for j in ends:
             for i in range(max(0, j - longest), j):
                 if (t := s[i:j] + end) in vocab and adjoin(last[i], t):
                     out.append(count[i] + 1)
                     break
+            else:
+                raise ValueError(f"the vocabulary has no last token for the prefix {s[:j]!r}")
         return tuple(out)
 
     def pieces(self, text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -180,6 +183,26 @@ class PrefixCounter:
             return n
         return sum(self.piece(p, True)[0] for part in self.special.split(text) for _, p in self.pieces(part)[1]) + len(self.special.findall(text))
 
+    def budget_cut(self, text: str, n: int, limit: int) -> int:
+        """Of a text of ``n`` tokens: the longest prefix, in characters of the normalised text, of at most ``limit`` tokens. A prefix has
+        the tokens of the pieces before its last piece and that piece's stored prefix count, so only one piece is looked into."""
+        if self.special.search(text):
+            return int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
+        low, pieces = (text.lower(), None) if PLAIN.fullmatch(text) else self.pieces(text)
+        if n <= limit:
+            return len(low)
+        base, last = 0, (0, "")
+        for start, p in pieces or ((m.start(), m[0]) for m in self.split.finditer(low)):
+            if base >= limit:
+                if base == limit:
+                    return start
+                break
+            base, last = base + self.piece(p, True)[0], (start, p)
+        start, p = last
+        before = base - self.piece(p, True)[0]
+        inside = [j for j, k in enumerate(self.piece(p), 1) if before + k <= limit]
+        return start + (inside[-1] if inside else 0)
+
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the prefixes of 0, 1, 2, ... characters of the normalised text."""
         out, base, at = [np.zeros(1, np.int32)], 0, 0
@@ -214,20 +237,20 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit), with ``prefixes`` also prefix_tokens: array<int>, the count of every prefix from
-    0 characters on, and budget_cut: the longest prefix, in characters, of at most ``limit`` tokens."""
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>, budget_cut long" * prefixes
+    """(doc_id, n_bytes, n_tokens, over_limit, budget_cut): budget_cut is the longest prefix, in characters of the normalised text, of at
+    most ``limit`` tokens. With ``prefixes`` also prefix_tokens: array<int>, the count of every prefix from 0 characters on."""
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_cut long" + ", prefix_tokens array<int>" * prefixes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path)
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())]
-        arrays = [c.prefixes(t) for t in texts] if prefixes else []
-        n = np.array([a[-1] for a in arrays] if prefixes else [c.total(t) for t in texts], np.int64)
-        columns += [pa.array(n), pa.array(n > limit)]
+        n = [c.total(t) for t in texts]
+        cuts = [c.budget_cut(t, k, limit) for t, k in zip(texts, n, strict=True)]
+        counts = pa.array(n, pa.int64())
+        columns = [batch.column(0), pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64()), counts, pc.greater(counts, limit), pa.array(cuts, pa.int64())]
         if prefixes:
-            columns += [pa.array([a.tolist() for a in arrays], pa.list_(pa.int32())), pa.array([int(np.flatnonzero(a <= limit)[-1]) for a in arrays], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_tokens", "budget_cut"][: len(columns)])
+            columns.append(pa.array([c.prefixes(t).tolist() for t in texts], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "budget_cut", "prefix_tokens"][: len(columns)])
 
     return per_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
 
