@@ -2,7 +2,7 @@
 
 A conversation is a log of events in the order of ``seq``. Folding the log gives the final messages:
 
-* ``message`` (message_id, role, text): a message, whole
+* ``message`` (message_id, role, text): a message, whole; without a message_id it is a message of its own
 * ``delta`` (message_id, role, text): text streamed to the end of a message, which it opens if it is new
 * ``edit`` (message_id, text): the message's text is replaced
 * ``regenerate`` (message_id): the message starts anew with no text, and the messages after it are undone
@@ -17,8 +17,8 @@ with the characters \\\\, # and < of role and text (and : of a role) behind a ba
 is the spans, in code points, of the assistant texts (and nothing between).
 
 Defined results: a null text counts as empty and a null role as the empty role; events of an unknown kind or of a message that is not
-there (edit, regenerate, delete) change nothing; events of equal ``seq`` are folded in the order of message_id, kind and text; repeated
-rows are repeated events; a null conversation is a conversation of its own; an empty table gives an empty result; further columns
+there (edit, regenerate, delete) change nothing; events of equal ``seq`` are folded in the order of message_id, kind, role and text, so
+equal turns come in the order of role and text however the rows lie; repeated rows are repeated events; a null conversation is a conversation of its own; an empty table gives an empty result; further columns
 of the input are not looked at.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, table
+from weftline.llm.common import python_tasks, table
 
 ESCAPED = re.compile(r"[\\#<]")
 COLON, BACKSLASH = re.compile(":"), "\\\\"
@@ -49,11 +49,11 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def fold(messages: dict[str, list[str]], kind: str, message_id: str, role: str, text: str) -> None:
-    """One event; ``messages``: [role, parts of the text ...] by message_id, in order."""
+def fold(messages: dict[object, list[str]], kind: str, message_id: str | None, role: str, text: str) -> None:
+    """One event; ``messages``: [role, parts of the text ...] by message_id (or something unique), in order."""
     if kind == "message":
         messages.pop(message_id, None)
-        messages[message_id] = [role, text]
+        messages[object() if message_id is None else message_id] = [role, text]
     elif kind == "delta":
         messages.setdefault(message_id, [role]).append(text)
     elif message_id in messages:
@@ -99,9 +99,9 @@ EVENT = "conv_id long, seq long, kind string, message_id string, role string, te
 
 def formatted(events: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans array<int>) of an event log with the columns of EVENT."""
-    bound_batches(events.sparkSession, 1024)
+    python_tasks(events.sparkSession)
     rows = events.select("conv_id", "seq", "kind", "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message_id", "kind", "text")
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message_id", "kind", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(done: list[tuple[int | None, list[tuple[str, str]]]]) -> pa.RecordBatch:
@@ -109,7 +109,7 @@ def formatted(events: DataFrame) -> DataFrame:
             cols = [pa.array([c for c, _ in done], pa.int64()), pa.array([len(m) for _, m in done], pa.int64()), pa.array([t for t, _ in texts], pa.string()), pa.array([s for _, s in texts], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(cols, ["conv_id", "n_turns", "formatted", "loss_spans"])
 
-        now: dict[str, list[str]] = {}
+        now: dict[object, list[str]] = {}
         current: tuple[int | None] | None = None
         for batch in batches:
             done = []
@@ -147,9 +147,7 @@ def digests(chats: DataFrame) -> DataFrame:
 
 def as_events(conversations: DataFrame) -> DataFrame:
     """A log of whole messages, one for each row of (conv_id, turn, role, text)."""
-    order = F.format_string("%020d", F.coalesce("turn", F.lit(-1)))
-    # rows of the same turn stay messages of their own
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.concat(order, F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("message_id"), "role", "text")
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
