@@ -10,7 +10,8 @@ Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a text without words (null, empty) has no direction and gets the share of label 1 among the labelled rows; the score is
 that share (0 without labelled rows) for all texts if nothing is labelled; labelled rows without a document or with a null label are not learnt
-from; equal similarities go to the labelled row of the smaller doc_id; repeated rows are scored one by one; an empty table gives an
+from; of labels that contradict one another for a doc_id the smallest counts; similarities are rounded to DECIMALS, so that the shape of
+a batch is not seen in them, and equal ones go to the labelled row of the smaller doc_id; repeated rows are scored one by one; an empty table gives an
 empty result; further columns of the input are not looked at.
 """
 
@@ -31,6 +32,7 @@ DIMENSIONS = WORDS + CLASSES + 2
 LABELLED = 4096
 LATENT = 48
 NEIGHBOURS = 15
+DECIMALS = 6
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>{}[]=+_~^@\\"))
@@ -97,11 +99,11 @@ class Voters:
     """Labelled latent vectors and what scores a text by them."""
 
     def __init__(self, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, labels: np.ndarray, neighbours: int) -> None:
-        self.idf, self.basis, self.latent, self.labels, self.neighbours = idf, basis, latent, labels, neighbours
+        self.idf, self.basis, self.latent, self.labels, self.neighbours = idf, basis.astype(np.float64), latent.astype(np.float64), labels, neighbours
         self.base = float(labels.mean()) if len(labels) else 0.0
 
     def place(self, texts: list[str]) -> np.ndarray:
-        z = weighted(texts, self.idf) @ self.basis
+        z = weighted(texts, self.idf).astype(np.float64) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -111,19 +113,22 @@ class Voters:
             return out
         for at, to in grouped(texts):
             z = self.place(texts[at:to])
-            near = z @ self.latent.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4
+            near = np.round(z @ self.latent.T, DECIMALS)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+            over, at_edge = near > least, near == least
+            room = k - over.sum(1, keepdims=True)
+            votes = over | (at_edge & (np.cumsum(at_edge, axis=1) <= room))  # voters are in the order of doc_id
+            weight = np.where(votes, np.maximum(near, 0), 0) ** 4
             some = weight.sum(1) > 0
-            out[at:to][some] = (weight * self.labels[top]).sum(1)[some] / weight.sum(1)[some]
-        return np.clip(out, 0, 1)
+            out[at:to][some] = (weight @ self.labels)[some] / weight.sum(1)[some]
+        return np.clip(np.round(out, 9), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, latent: int = LATENT, neighbours: int = NEIGHBOURS) -> Voters:
     """``labels`` (doc_id, label): rows to learn from, of which about ``labelled`` are used, chosen by a hash of doc_id."""
     df, n = document_frequencies(docs.select("text"), DIMENSIONS, shares)
     idf = inverse(df, n)
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_000)) < 1_000_000 * min(1.0, labelled / max(known.count(), 1)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
