@@ -12,7 +12,6 @@ judged one by one; an empty table gives an empty result; further columns of the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +21,21 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, per_text, table
+from weftline.llm.common import per_text, python_tasks, table
 
 DIMENSIONS = 1 << 13
 #: Texts of a language from which centroids are made, and centroids of a language.
 SAMPLE = 400
 CENTROIDS = 4
+#: Values of lang that are learnt, the most frequent ones: the bound of the model, whatever stands in lang.
+LANGUAGES = 500
 REJECT_SPREAD = 4.0
 #: Of a language's sampled texts, the share that a centroid stands for at least.
 LEAST_SHARE = 0.05
 FOLDS, HELD_OUT = 4, 2
 GROUP_BYTES = 1 << 17
-OTHER = re.compile(r"[\W\d_]+")
+#: What is no part of a word: combining marks are, as the vowel signs of many scripts.
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -70,7 +72,7 @@ def grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
 def document_frequencies(texts: DataFrame, dimensions: int, per_group) -> tuple[np.ndarray, int]:
     """Of all rows of ``texts`` (text): in how many of them each dimension of ``per_group(list of texts)`` is not zero, and their number.
     Each task sends one row a dimension at most; the sums have ``dimensions`` + 1 rows."""
-    bound_batches(texts.sparkSession)
+    python_tasks(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dimensions + 1, np.int64)
@@ -111,14 +113,14 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
     return c, np.array([s.mean() - REJECT_SPREAD * s.std() if len(s) else -1.0 for s in spread])
 
 
-def sample_by(rows: DataFrame, key: str, most: int, unique: str) -> DataFrame:
-    """At most about ``most`` rows of each value of ``key`` (few values), by a hash of ``unique``: the same rows in every run, and
-    no value's rows are gathered to choose among them."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        share = F.when(F.col(key) == value, F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(unique, F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+def sample_by(rows: DataFrame, key: str, most: int, unique: str, values: int) -> DataFrame:
+    """At most about ``most`` rows of each of the ``values`` most frequent values of ``key`` (equals by name), by a hash of ``unique``:
+    the same rows in every run, and no value's rows are gathered to choose among them."""
+    sizes = rows.groupBy(key).count().orderBy(F.desc("count"), key).limit(values).collect()
+    if not sizes:
+        return rows.where("false")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], int(1_000_000 * min(1.0, most / r[1])))])
+    return rows.where(F.pmod(F.xxhash64(unique, F.lit("sample")), F.lit(1_000_000)) < F.try_element_at(share, F.col(key)))
 
 
 class Model:
@@ -137,7 +139,7 @@ class Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """The model of labelled rows; ``sample`` bounds the texts a language that are clustered."""
+    """The model of labelled rows; ``sample`` bounds the texts a language that are clustered, LANGUAGES the languages."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     df, n = document_frequencies(rows.select("text"), DIMENSIONS, counts)
     idf = inverse(df, n)
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         c, floor = clustered(x, centroids)
         return pd.DataFrame({"lang": frame.lang.iloc[0], "centroid": [v.astype(np.float32).tobytes() for v in c], "floor": floor})
 
-    made = sample_by(rows, "lang", sample, "doc_id").select("lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").collect()
+    made = sample_by(rows, "lang", sample, "doc_id", LANGUAGES).select("lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").collect()
     made.sort(key=lambda r: r.lang)
     c = np.stack([np.frombuffer(r.centroid, np.float32) for r in made]) if made else np.zeros((0, DIMENSIONS), np.float32)
     return Model(idf, [r.lang for r in made], c, np.array([r.floor for r in made]))
