@@ -1,23 +1,25 @@
 """Line dedup by a log-template tree (operator 5).
 
-A line goes down a tree of fixed depth: its token count, then its first two tokens. There it has a template: its tokens, those
-with a digit as the variable field <*>. A line of GENERAL_TOKENS or more also has four generalised templates, each with one
-quarter of the remaining tokens as one variable field, so lines that differ inside one quarter meet in a template. Templates
-are named by 64-bit hashes of their path, so the tree is the grouping of lines by name and needs no order of arrival.
-
-A template recurs, and its lines are dropped, if it stands in documents of at least MIN_FAMILIES copy classes, or of
-LONG_CLASSES if it has LONG_TOKENS or more, as no such line is twice the same by accident; however many documents those are.
-Two documents alone cannot be told from one and a text that quotes it, so their lines stay. A copy class is a component of documents whose sets of five-word shingles are of COPY_SIMILARITY or more:
-copies and revisions of one document count once, so their text is not taken for boilerplate, and lines that recur together in
-otherwise different documents leave those in classes of their own.
-
-Templates are counted in two aggregations (template and class, then template), each combined before its shuffle. The templates
-of equal texts are one row where they meet their class. The names of recurring templates are sent to the tasks if they are at
-most BROADCAST_TEMPLATES; beyond that, lines meet them in a join.
+A line goes down a tree of fixed depth: its token count, then its first two tokens; tokens with a digit are the variable field <*>
+from the start. In the leaf it has a template: a token that stands at its place in lines of enough copy classes is fixed, any other
+is a variable field. So lines of any length that differ in some places meet in one template, which does not depend on the order
+of arrival. A template counts if at most one in FIELD_PART of its tokens is a learnt field and at least half are no fields at all.
+
+A template recurs, and its lines are dropped, if it stands in MIN_CLASSES copy classes or more; in LONG_CLASSES if it has LONG_TOKENS
+or more and no learnt field, as no such line is three times the same by accident. The same numbers make a token fixed. Two documents
+alone cannot be told from one and a text that quotes it, so their lines stay. A copy class is a component of texts whose sketches of
+five-word shingles (256 bits of SimHash, met under minima) are those of a similarity of COPY_SIMILARITY or more: exact copies,
+copies and revisions of one document count once, so their text is not taken for boilerplate, while lines that recur together in
+otherwise different documents leave those in classes of their own. Near-duplicate removal, not this operator, is for copies.
+
+Everything that is counted is a set of (what, class) first, combined before its shuffle, so a line of a third of all documents, or
+a text copied as often, is a row a task. Only leaves of enough classes are looked into. The names of the lines to drop are sent to
+the tasks if they are at most BROADCAST_LINES; beyond that, lines meet them in a join.
 
 Defined results: a null text stays null and has no lines; an empty text stays empty; lines of fewer than MIN_TOKENS tokens are kept;
-repeated rows are treated alike; an empty table gives an empty result; a dropped line goes with its line end, and every other
-byte stays; further columns of the input are kept as they are.
+the same line again in one text counts once and is dropped or kept alike; repeated rows are treated alike; very long lines are lines like any
+other; there are no ties, as nothing is ranked; an empty table gives an empty result; a dropped line goes with its line end, and
+every other byte stays; further columns of the input are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,139 +27,132 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, per_text, stage, table
-from weftline.llm.simhash import similar_components
+from weftline.llm.common import per_text, stage, table
+from weftline.llm.simhash import sketch_components
 
 MIN_TOKENS = 3
-GENERAL_TOKENS = 12
-MIN_FAMILIES = 10
+LEADING = 2
 LONG_TOKENS = 8
 LONG_CLASSES = 3
-#: The bound of the former rule on families (see counted), which nothing but its test uses.
-COPIES = 4
+MIN_CLASSES = 10
+FIELD_PART = 4
 COPY_SIMILARITY = 0.5
-BROADCAST_TEMPLATES = 1_000_000
-QUARTERS = 4
+BROADCAST_LINES = 500_000
+FIELD = "<*>"
 VARIABLE = re.compile(r"\S*[0-9]\S*")
 
 
-def lead(tokens: list[str]) -> int:
-    """The upper 16 bits of a template's name: the hash of the first two tokens, by which most lines are seen not to recur."""
-    return xxhash.xxh64_intdigest(f"{tokens[0]} {tokens[1]}") & 0xFFFF
-
-
-def templates(tokens: list[str]) -> list[int]:
-    """The names of a line's templates, from its masked tokens: its own, then the generalised ones. The lowest bit says that it is long."""
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return []
-    path, head = f"{n} {tokens[0]} {tokens[1]}\n", lead(tokens) << 48
-    rest = tokens[2:]
-
-    def name(below: str) -> int:
-        return head | xxhash.xxh64_intdigest(path + below) >> 16 & ~1 | (n >= LONG_TOKENS)
-
-    if n < GENERAL_TOKENS:
-        return [name(" ".join(rest))]
-    cuts = [len(rest) * i // QUARTERS for i in range(QUARTERS + 1)]
-    parts = [" ".join(rest[cuts[i] : cuts[i + 1]]) for i in range(QUARTERS)]
-    return [name(" ".join(parts)), *(name(" ".join([*parts[:i], f"<{i}>", *parts[i + 1 :]])) for i in range(QUARTERS))]
-
-
-def masked(text: str) -> list[str]:
-    """The lines of a text with variable fields as <*>; as many as text.split("\\n") has."""
-    return VARIABLE.sub("<*>", text).split("\n")
-
-
-def counted(text: str) -> Iterable[tuple[int, int]]:
-    """(template, family) for the templates of a text, each pair once; the family is the longest token of the other lines. The rule
-    counts copy classes instead; where documents are few and no copies, families say the same."""
-    lines = [x.split() for x in dict.fromkeys(masked(text))]  # the same line again is not another line
-    longest = [max(x, key=len, default="") for x in lines]
-    first = max(range(len(lines)), key=lambda i: len(longest[i]))
-    second = max((x for i, x in enumerate(longest) if i != first), key=len, default="")
-    others = xxhash.xxh64_intdigest(longest[first]), xxhash.xxh64_intdigest(second)
-    return {(t, others[i == first]) for i, x in enumerate(lines) for t in templates(x)}
+def parsed(text: str) -> list[list[str]]:
+    """The tokens of each line; as many lines as text.split("\\n") has."""
+    return [x.split() for x in VARIABLE.sub(FIELD, text).split("\n")]
 
 
-def signed(values: Iterable[int]) -> pa.Array:
-    return pa.array(np.fromiter(values, np.uint64).view(np.int64))
+def name(line: str) -> int:
+    """As F.xxhash64 of the string."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (h >> 63 << 64)
 
 
-def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(template): the names of the templates that recur across documents."""
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(of, leaf, n, line): the different lines of ``texts`` (of, text) that have a leaf, their tokens joined by spaces."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [list({n for x in dict.fromkeys(masked(t)) for n in templates(x.split())}) for t in batch.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, rows)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(n for r in rows for n in r))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "templates"])
-
-    # a text is named by its hash, so equal texts are one document
-    texts = docs.where(F.length(text) > 0).select(F.xxhash64(F.col(text)).alias("doc_id"), F.col(text).alias("text"))
-    copies = stage(similar_components(texts, COPY_SIMILARITY).where("doc_id <> component_id").distinct(), "copy-classes")
-    rows = per_text(texts, run, "doc_id long, templates array<long>").groupBy("doc_id").agg(F.first("templates").alias("templates"))
-    classed = rows.join(copies, "doc_id", "left").select(F.explode("templates").alias("template"), F.coalesce("component_id", "doc_id").alias("class"))
-    counts = classed.distinct().groupBy("template").agg(F.count(F.lit(1)).alias("classes"))
-    return counts.where(f"classes >= if((template & 1) = 1, {LONG_CLASSES}, {MIN_FAMILIES})").select("template")
-
-
-def without(text: str, drop: frozenset[int], leads: frozenset[int]) -> tuple[str, int]:
-    """The text without the lines that have a template in ``drop`` (``leads``: their upper bits), and how many those are."""
-
-    def recurs(line: str) -> bool:
-        start = line.split(None, 2)
-        if len(start) < MIN_TOKENS or lead(VARIABLE.sub("<*>", f"{start[0]} {start[1]}").split()) not in leads:
-            return False
-        return not drop.isdisjoint(templates(VARIABLE.sub("<*>", line).split()))
-
+        of, leaf, n, line = [], [], [], []
+        for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x in {" ".join(x): x for x in parsed(t) if len(x) >= MIN_TOKENS}.items():
+                of.append(h)
+                leaf.append(name(f"{len(x[1])} {' '.join(x[1][:LEADING])}"))
+                n.append(len(x[1]))
+                line.append(x[0])
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(leaf, pa.int64()), pa.array(n, pa.int32()), pa.array(line, pa.string())], ["of", "leaf", "n", "line"])
+
+    return per_text(texts, run, "of long, leaf long, n int, line string")
+
+
+def met(rows: DataFrame, small: DataFrame, on: str, how: str, limit: int) -> DataFrame:
+    """A join with a staged table, which is broadcast if it has at most ``limit`` rows."""
+    return rows.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
+def line_templates(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_LINES) -> DataFrame:
+    """(line, name, template, learnt, n, classes): the different lines (masked) in leaves of enough classes, the name of each one's
+    template, its number of learnt fields and the copy classes it stands in; only templates that count."""
+    texts = docs.where(F.length(text) > 0).select(F.xxhash64(F.col(text)).alias("of"), F.col(text).alias("text"))
+    classes = sketch_components(texts.withColumnRenamed("of", "doc_id"), COPY_SIMILARITY)
+    copies = stage(classes.where("doc_id <> component_id").distinct().withColumnsRenamed({"doc_id": "of", "component_id": "class"}), "copy-classes")
+    lines = lines_of(texts)
+    enough = F.when(F.col("n") >= LONG_TOKENS, LONG_CLASSES).otherwise(MIN_CLASSES)
+
+    def classed(rows: DataFrame) -> DataFrame:
+        own = [c for c in rows.columns if c != "of"]
+        return met(rows.distinct(), copies, "of", "left", broadcast_limit).select(*own, F.coalesce("class", "of").alias("class")).distinct()
+
+    def support(rows: DataFrame, *by: str | Column) -> DataFrame:
+        return rows.select(*by, "class").distinct().groupBy(*[c for c in rows.select(*by).columns]).agg(F.count(F.lit(1)).alias("classes"))
+
+    leaves = stage(support(classed(lines.select("of", "leaf", "n")), "leaf", "n").where(F.col("classes") >= enough).select("leaf"), "leaves")
+    alive = stage(classed(met(lines, leaves, "leaf", "left_semi", broadcast_limit)), "lines")
+    word = F.xxhash64("leaf", "pos", "token").alias("word")
+
+    def words(rows: DataFrame, *own: str) -> DataFrame:
+        return rows.select(*own, "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= LEADING).select(*own, "pos", word)
+
+    fixed = stage(support(words(alive, "n", "class"), "n", "word").where(F.col("classes") >= enough).select("word"), "words")
+    each = stage(alive.select("leaf", "n", "line").distinct().withColumn("name", F.xxhash64("line")), "different-lines")
+    places = met(words(each, "name"), fixed, "word", "left_semi", broadcast_limit).groupBy("name").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    tokens = F.split("line", " ")
+    fields = F.size(F.filter(tokens, lambda x: x == FIELD))
+    made = each.join(places, "name", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>"))).withColumn("learnt", F.col("n") - LEADING - F.size("at"))
+    made = made.where((FIELD_PART * F.col("learnt") <= F.col("n")) & (2 * (F.col("learnt") + fields) <= F.col("n")))
+    made = stage(made.select("line", "name", "n", "learnt", F.xxhash64("leaf", "at", F.transform("at", lambda p: F.get(tokens, p))).alias("template")), "templates")
+    stands = met(alive.select(F.xxhash64("line").alias("name"), "class"), made.select("name", "template"), "name", "inner", broadcast_limit)
+    counts = stage(support(stands, "template"), "template-classes")
+    return met(made, counts, "template", "inner", broadcast_limit)
+
+
+def recurring(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_LINES) -> DataFrame:
+    """(name): the names of the lines whose templates recur across documents."""
+    enough = F.when((F.col("n") >= LONG_TOKENS) & (F.col("learnt") == 0), LONG_CLASSES).otherwise(MIN_CLASSES)
+    return line_templates(docs, text, broadcast_limit).where(F.col("classes") >= enough).select("name").distinct()
+
+
+def without(text: str, drop: frozenset[int]) -> tuple[str, int]:
+    """The text without the lines named in ``drop``, and how many those are."""
     lines = text.split("\n")
-    keep = [x for x in lines if not recurs(x)]
+    keep = [x for x, t in zip(lines, parsed(text), strict=True) if len(t) < MIN_TOKENS or name(" ".join(t)) not in drop]
     return (text, 0) if len(keep) == len(lines) else ("\n".join(keep), len(lines) - len(keep))
 
 
-def with_leads(names: Iterable[int]) -> tuple[frozenset[int], frozenset[int]]:
-    drop = frozenset(t & (1 << 64) - 1 for t in names)
-    return drop, frozenset(t >> 48 for t in drop)
-
-
-def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_TEMPLATES) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with the text without its recurring lines, and n_lines and n_dropped."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    found = stage(recurring(docs, text), "templates")
+    found = stage(recurring(docs, text, broadcast_limit), "recurring")
     columns = docs.columns
     at = columns.index(text)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
 
-    def cut(batch: pa.RecordBatch, drops: Iterable[tuple[frozenset[int], frozenset[int]]]) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, drops: Iterable[frozenset[int]]) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()
-        done = [(None, 0) if t is None else without(t, *d) for t, d in zip(texts, drops, strict=True)]
+        done = [(t, 0) if not t else without(t, d) for t, d in zip(texts, drops, strict=True)]
         own = [batch.column(i) for i in range(len(columns))]
         own[at] = pa.array([d[0] for d in done], pa.string())
         lines = [0 if not t else t.count("\n") + 1 for t in texts]
         return pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array([d[1] for d in done], pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     if found.count() <= broadcast_limit:
-        names = spark.sparkContext.broadcast(with_leads(r.template for r in found.toLocalIterator()))
+        names = spark.sparkContext.broadcast(frozenset(r[0] for r in found.toLocalIterator()))
         return per_text(docs, lambda batch: cut(batch, [names.value] * batch.num_rows), out)
-
-    def of_text(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(h, t) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for t in {t for m in masked(x) for t in templates(m.split())}]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), signed(r[1] for r in rows)], ["_of", "template"])
-
     keyed = docs.withColumn("_of", F.xxhash64(F.col(text)))
-    of = per_text(keyed.select("_of", F.col(text).alias("text")), of_text, "_of long, template long")
-    drops = of.join(found, "template", "left_semi").groupBy("_of").agg(F.collect_set("template").alias("_drops"))
-    met = keyed.join(drops, "_of", "left").select(*[docs[c] for c in columns], "_drops")
-    bound_batches(spark)
-    return per_text(met, lambda b: cut(b, [with_leads(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
+    lines = lines_of(keyed.where(F.length(text) > 0).select(F.col("_of").alias("of"), F.col(text).alias("text")))
+    drops = lines.select(F.col("of").alias("_of"), F.xxhash64("line").alias("name")).distinct().join(found, "name", "left_semi").groupBy("_of").agg(F.collect_list("name").alias("_drops"))
+    rows = keyed.join(drops, "_of", "left").select(*[docs[c] for c in columns], "_drops")
+    return per_text(rows, lambda b: cut(b, [frozenset(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

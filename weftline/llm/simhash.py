@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bound_batches, components, forest, per_text, stage, table
+from weftline.llm.common import components, forest, per_text, python_tasks, stage, table
 
 SHINGLE = 3
 RADIUS = 2
@@ -159,7 +159,7 @@ def links(distinct: DataFrame) -> DataFrame:
     mine, theirs = F.struct("weight", "cut"), F.struct(F.col("other.weight"), F.col("other.cut"))
     large = large.select(F.when(mine <= theirs, unit("weight", "cut", F.col("other.weight"), F.col("other.cut"))).otherwise(unit(F.col("other.weight"), F.col("other.cut"), "weight", "cut")).alias("unit"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), "fp")
     spark = distinct.sparkSession
-    bound_batches(spark, 10_000)
+    python_tasks(spark)
     dealt = small.union(large).repartition("unit").sortWithinPartitions("unit")
     return dealt.mapInArrow(lambda batches: _links(batches, RADIUS), "u long, v long")
 
@@ -196,11 +196,11 @@ BROADCAST_CANDIDATES = 500_000
 _odd = np.random.default_rng(42).integers(0, 1 << 63, KEYS * KEY_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE_WORDS) -> int:
-    """Bits that two sketches of this Jaccard similarity differ in, with SPARE standard deviations to spare: a bit differs with the
+def wide_radius(similarity: float = SIMILARITY, spare: float = SPARE, bits: int = 64 * WIDE_WORDS) -> int:
+    """Bits that two sketches of this Jaccard similarity differ in, with ``spare`` standard deviations to spare: a bit differs with the
     probability (angle between the shingle vectors) / pi."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + SPARE * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + spare * np.sqrt(bits * p * (1 - p)))
 
 
 def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -347,15 +347,15 @@ def wide_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float
         yield links(unit, side, node, f, [s for k in kept for s in k[4]])
 
 
-def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1) -> DataFrame:
+def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1, spare: float = SPARE) -> DataFrame:
     """(u, v): links that join all rows (key, node, f0, ..., sets of shingles or none) of one key that links of any two of them join.
     A key of more than ``tile`` rows is dealt to cuts, each compared in itself. Then all that a key still has to compare are pairs of
     different components: the rows outside of its largest one against all, in tile pairs. So a large group of copies costs in
     proportion to its size, and no pair of a key is left out."""
     own = rows.columns[2:]
-    radius = wide_radius(similarity)
+    radius = wide_radius(similarity, spare)
     sizes = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
-    bound_batches(rows.sparkSession, 10_000)
+    python_tasks(rows.sparkSession)
 
     def dealt(met: DataFrame) -> DataFrame:
         return stage(met.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: wide_links(batches, radius, similarity), "u long, v long"), "wide-links")
@@ -383,23 +383,44 @@ def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1) ->
     return first.union(dealt(left.union(right).select(F.xxhash64("key", "a", "b").alias("unit"), "side", "node", *own)))
 
 
-def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id): components of texts whose sets of word shingles are of ``similarity`` or more. Texts meet under keys of
-    minima, and sketches close to one another make them candidates; within the components of the candidates the shingles decide.
-    Texts of equal sets are one row throughout."""
-    f = [f"f{i}" for i in range(WIDE_WORDS)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    words = ", ".join(f"{x} long" for x in f)
+SKETCH = [f"f{i}" for i in range(WIDE_WORDS)]
+SKETCH_TYPES = ", ".join(f"{f} long" for f in SKETCH)
+
+
+def sketched(texts: DataFrame, shingle: int = WIDE_SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts`` (doc_id, text), staged: (doc_id, name of its set of shingles), and for each set (name, sketch, node, keys), the
+    node being the smallest doc_id."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t, shingle) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
         made = [wide_sketch(h) for h in sets]
         cols = [pa.array([m[0][w] for m in made], pa.int64()) for w in range(WIDE_WORDS)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_name, sets), pa.int64()), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "name", *f, "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_name, sets), pa.int64()), *cols, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "name", *SKETCH, "keys"])
 
-    sketches = stage(per_text(texts, run, f"doc_id long, name long, {words}, keys array<long>"), "sketches")
+    sketches = stage(per_text(texts.select("doc_id", "text"), run, f"doc_id long, name long, {SKETCH_TYPES}, keys array<long>"), "sketches")
     # a set has one sketch and one list of keys, so any of them will do
-    distinct = stage(sketches.groupBy("name", *f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
+    return sketches.select("doc_id", "name"), stage(sketches.groupBy("name", *SKETCH).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
+
+
+def rooted(of: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the root is a component's smallest node, and a node is the smallest doc_id of its set."""
+    found = distinct.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
+    return of.join(found, "name").select("doc_id", "component_id")
+
+
+def sketch_components(texts: DataFrame, similarity: float, spare: float = 0, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id): components of ``texts`` (doc_id, text) as similar_components, but the sketches decide, not the shingles."""
+    of, distinct = sketched(texts.where("doc_id is not null"))
+    return rooted(of, distinct, components(key_links(distinct.select(F.explode("keys").alias("key"), "node", *SKETCH), similarity, tile, spare=spare)))
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id): components of texts whose sets of word shingles are of ``similarity`` or more. Texts meet under keys of
+    minima, and sketches close to one another make them candidates; within the components of the candidates the shingles decide.
+    Texts of equal sets are one row throughout."""
+    f, words = SKETCH, SKETCH_TYPES
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    of, distinct = sketched(texts, shingle)
     roots = components(key_links(distinct.select(F.explode("keys").alias("key"), "node", *f), similarity, tile))
     roots = roots.union(roots.select("root", "root").distinct())
     nodes = distinct.select("node", "name", *f)
@@ -415,9 +436,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
 
     sets = stage(per_text(met, shingles, f"key long, node long, {words}, shingles array<long>"), "shingle-sets")
     # two deals, so that the cuts of a large group of copies are joined through one another
-    roots = components(key_links(sets, similarity, min(tile, EXACT_TILE), 2))  # the root is a component's smallest node, and a node is the smallest doc_id of its set
-    found = distinct.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
-    return sketches.select("doc_id", "name").join(found, "name").select("doc_id", "component_id")
+    return rooted(of, distinct, components(key_links(sets, similarity, min(tile, EXACT_TILE), 2)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
