@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,25 +91,70 @@ def lined(spark):
     return rows
 
 
+def slow_line_dedup(rows: list[str | None]) -> list[str | None]:
+    """The rule said again, with sets in place of joins and shingles in place of sketches."""
+    texts = sorted({t for t in rows if t})
+
+    def shingles(t: str) -> set:
+        words = t.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, part = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and part[i] != part[j] and 2 * len(x & sets[j]) >= len(x | sets[j]):
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+
+    def tokens(line: str) -> tuple:
+        return tuple("<*>" if any(c in "0123456789" for c in x) else x for x in line.split())
+
+    enough = lambda line: 3 if len(line) >= 8 else 10
+    stands: dict = defaultdict(set)
+    for t, c in zip(texts, part, strict=True):
+        for x in t.split("\n"):
+            stands[tokens(x)].add(c)
+    leaves, words, templates = defaultdict(set), defaultdict(set), defaultdict(set)
+    lines = [x for x in stands if len(x) >= 3]
+    for x in lines:
+        leaves[len(x), x[:2]] |= stands[x]
+        for i, w in enumerate(x[2:], 2):
+            words[len(x), x[:2], i, w] |= stands[x]
+
+    def template(x: tuple) -> tuple | None:
+        if len(x) < 3 or len(leaves[len(x), x[:2]]) < enough(x):
+            return None
+        made = x[:2] + tuple(w if len(words[len(x), x[:2], i, w]) >= enough(x) else None for i, w in enumerate(x[2:], 2))
+        learnt = made.count(None)
+        return made if 4 * learnt <= len(x) and 2 * (learnt + sum(w == "<*>" for w in x)) <= len(x) else None
+
+    for x in lines:
+        templates[template(x)] |= stands[x]
+
+    def drops(line: str) -> bool:
+        made = template(tokens(line))
+        return made is not None and len(templates[made]) >= (10 if None in made or len(made) < 8 else 3)
+
+    return [t and "\n".join(x for x in t.split("\n") if not drops(x)) for t in rows]
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_line_dedup(spark, lined, limit):
     docs = spark.createDataFrame([(d, t, 5) for d, t in lined], "doc_id long, text string, n_lines int")
     rows = line_dedup.dropped_lines(docs, broadcast_limit=limit).collect()
-    families: dict = defaultdict(Counter)
-    for _, t in lined:
-        for name, family in line_dedup.counted(t) if t else ():
-            families[name][family] += 1
-    recurring = frozenset(t for t, f in families.items() if len(f) >= line_dedup.MIN_FAMILIES and sum(f.values()) <= line_dedup.COPIES * len(f))
-    want = Counter()
-    for d, t in lined:
-        keep = [x for x, m in zip((t or "").split("\n"), line_dedup.masked(t or ""), strict=True) if recurring.isdisjoint(line_dedup.templates(m.split()))]
-        want[d, None if t is None else "\n".join(keep)] += 1
-    assert Counter((r.doc_id, r.text) for r in rows) == want
+    want = slow_line_dedup([t for _, t in lined])
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((d, w) for (d, _), w in zip(lined, want, strict=True))
     dropped = {r.doc_id: r.n_dropped for r in rows if r.doc_id is not None}
-    assert all(dropped[d] == (d % 3 != 2) for d in range(1, 60))  # a digit field, and a field inside one quarter
+    assert all(dropped[d] == (d % 3 != 2) for d in range(1, 60))  # a digit field, and a learnt one
     assert not any(dropped[100 + i] for i in range(40))  # copies of one document are no template
 
 
+def test_lines_equal_brute_force_on_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    got = {r.doc_id: r.text for r in line_dedup.dropped_lines(table(spark, sf_dir, "documents")).collect()}
+    assert got == {r.doc_id: t for r, t in zip(rows, slow_line_dedup([r.text for r in rows]), strict=True)}
+
+
 def dropped(spark, rows: list[str]) -> list[int]:
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     found = {r.doc_id: r.n_dropped for r in line_dedup.dropped_lines(df).collect()}
@@ -150,6 +196,37 @@ def test_passages_of_few_documents(spark):
     assert dropped(spark, rows) == want + [0] * 9
 
 
+def test_a_footer_with_a_long_address(spark):
+    rnd = random.Random(21)
+    assert dropped(spark, [f"{t}\nAll rights of this work are reserved\nmore at https://www.example.org/{'long/' * 30}" for t in bodies(rnd, 200)]) == [2] * 200
+
+
+def test_equal_documents_of_one_line(spark):
+    """Equal texts are one document, which near-duplicate removal deals with: no line of theirs recurs."""
+    assert dropped(spark, ["the only line of all these equal documents is this"] * 500) == [0] * 500
+
+
+def test_boilerplate_of_copied_documents(spark):
+    rnd = random.Random(22)
+    assert dropped(spark, [f"{t}\nsubscribe to our letter" for t in bodies(rnd, 300)] * 5) == [1] * 1500
+
+
+def test_fields_of_short_lines(spark):
+    """A name is a field in lines of any length; lines that share their frame with no ten others stay."""
+    rnd = random.Random(23)
+    name = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7)).title()
+    texts = bodies(rnd, 324)
+    rows = [f"{t}\nPosted by {name()} on a sunny day" for t in texts[:300]]
+    rows += [f"{t}\nWritten for {name()} in the last week" for t in texts[300:309]]
+    rows += [f"{t}\nWhen all {name()} {name()} {name()} came home" for t in texts[309:]]
+    assert dropped(spark, rows) == [1] * 300 + [0] * 24
+
+
+def test_columns_of_numbers_stay(spark):
+    rnd = random.Random(24)
+    assert dropped(spark, [f"{t}\n{i} {i * 7} {i + 3} 12.5" for i, t in enumerate(bodies(rnd, 40))]) == [0] * 40
+
+
 def test_clean_lines_keeps_columns(spark, lined):
     docs = spark.createDataFrame([(d, t, len(t or ""), 5, "x") for d, t in lined], "doc_id long, text string, n_chars long, n_lines int, n_dropped string")
     out = line_dedup.clean_lines(docs)
@@ -190,6 +267,18 @@ def test_events_fold(spark):
     assert conversations.formatted(spark.createDataFrame([], conversations.EVENT)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_rows_of_one_turn(spark, parts):
+    """Equal turns come in the order of role and text, equal rows as often as they stand there."""
+    rnd = random.Random(parts)
+    rows = [(1, 3, r, t) for r in ("user", "assistant", None) for t in ("b", "a", "a", None)] + [(1, 2, "user", "first"), (1, None, "user", "none")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(parts)
+    one = conversations.formatted(conversations.as_events(df)).first()
+    want = sorted(((-1 if t is None else t, r or "", x or "") for _, t, r, x in rows))
+    assert conversations.parse(one.formatted) == [(r, x) for _, r, x in want]
+
+
 def test_chat_query(spark, sf_dir):
     rows = {r.conv_id: r for r in conversations.op8_chat_formatting(spark, sf_dir).collect()}
     turns = defaultdict(list)
@@ -233,6 +322,57 @@ def test_classifier_edges(spark, docs, texts, nothing):
     assert quality_knn.scored(nothing, quality_knn.fit(nothing, labels)).count() == 0
 
 
+def test_votes_equal_brute_force():
+    """Ties at the edge go to the first voter, whatever the batch."""
+    rng = np.random.default_rng(4)
+    idf = np.ones(quality_knn.DIMENSIONS, np.float32)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(120)]
+    basis = np.linalg.qr(rng.standard_normal((quality_knn.DIMENSIONS, 6)))[0]
+    z = quality_knn.weighted(texts[:60], idf) @ basis
+    voters = quality_knn.Voters(idf, basis, z / np.linalg.norm(z, axis=1, keepdims=True), rng.integers(0, 2, 60).astype(float), 7)
+    got = voters.scores(texts)
+    assert all(voters.scores([t])[0] == g for t, g in zip(texts, got, strict=True))
+    tied = 0
+    for t, g in zip(texts, got, strict=True):
+        near = [round(float(x), 6) for x in voters.place([t])[0] @ voters.latent.T]
+        order = sorted(range(60), key=lambda i: (-near[i], i))
+        tied += near[order[6]] == near[order[7]]
+        weight = [max(near[i], 0) ** 4 for i in order[:7]]
+        assert abs(g - sum(w * voters.labels[i] for w, i in zip(weight, order, strict=False)) / sum(weight)) < 1e-8
+    assert tied > 10
+
+
+def test_labels_that_contradict_one_another(spark, docs):
+    labels = [(0, 1), (1, 0), (2, 1), (3, 0), (2, 0)]
+    first, again = (quality_knn.fit(docs, spark.createDataFrame(x, "doc_id long, quality int").repartition(n)) for x, n in ((labels, 3), (labels[::-1], 2)))
+    assert first.labels.tolist() == again.labels.tolist() == [1, 0, 0, 0]
+
+
+def test_nearest_centroid_equals_brute_force(docs, texts):
+    model = language_id.fit(docs, centroids=3)
+    for t, (lang, score, far) in zip((t for _, t in texts), model.predict([t for _, t in texts]), strict=True):
+        if lang != "und":
+            near = [float(language_id.vectors([t], model.idf)[0] @ c) for c in model.centroids]
+            j = max(range(len(near)), key=lambda i: (near[i], -i))
+            assert lang == model.langs[j] and abs(score - min(1, max(0, near[j]))) < 1e-5 and (abs(near[j] - model.floor[j]) < 1e-5 or far == (near[j] < model.floor[j]))
+
+
+def test_scripts_with_combining_marks(spark):
+    """Vowel signs and tone marks are parts of their words."""
+    thai, hindi = "ผู้คนที่นี่ดี", "हिन्दी में लिखा"
+    assert language_id.OTHER.sub(" ", thai + " 12_x") == thai + " x" and language_id.OTHER.sub(" ", hindi) == hindi
+    rows = [(i, " ".join([t] * (i % 5 + 1)), lang) for i, (t, lang) in enumerate([(thai, "th"), (hindi, "hi"), ("the words of it", "en")] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language_id.identify(df, language_id.fit(df.where("doc_id % 2 = 0"))).collect())
+
+
+def test_more_languages_than_are_learnt(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(i, f"text number {i}", f"l{min(i % 9, 4)}") for i in range(90)]
+    assert sorted(set(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs)) == ["l0", "l4"]
+
+
 # pipeline
 
 

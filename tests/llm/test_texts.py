@@ -56,6 +56,23 @@ def test_budget_cut(docs, word_path):
     assert c.prefixes("a b c")[-1] == 3
 
 
+def test_budget_cut_without_all_prefixes(spark, sf_dir, word_path):
+    """From the counts before each piece and those of one piece, the same as from the counts of all prefixes."""
+    c = token_counts.PrefixCounter(word_path)
+    rows = [r.text[:3000] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect() if r.text]
+    for t in [*rows, "", "don't they're I'll 'r 're 's", "Überall naïve", "a" * 90, "tab\tnew\n\nline  --== ", "漢字 x\x1cy İ <|endoftext|> ok"]:
+        counts = c.prefixes(t)
+        for limit in (0, 1, 2, 7, 50, 300, 2048):
+            assert c.budget_cut(t, c.total(t), limit) == np.flatnonzero(counts <= limit)[-1], (t, limit)
+
+
+def test_a_vocabulary_without_a_byte(word_path):
+    c = token_counts.PrefixCounter(word_path)
+    c.vocab = frozenset(x for x in c.vocab if "z" not in x)
+    with pytest.raises(ValueError, match="the vocabulary has no"):
+        c.total("abz yz")
+
+
 # operator 2
 
 
@@ -173,7 +190,7 @@ def test_every_pair_of_a_large_key_is_compared(spark, tile):
 
     from weftline.llm.common import components as joined
 
-    with mock.patch.object(simhash, "wide_radius", lambda similarity: 6):
+    with mock.patch.object(simhash, "wide_radius", lambda similarity, spare: 6):
         roots = {r.node: r.root for r in joined(simhash.key_links(df, 0.8, tile)).collect()}
     want = components(list(range(80)), lambda i, j: (sketch[i] ^ sketch[j]).bit_count() <= 6)
     assert {n: roots.get(n, n) for n in range(80)} == want
@@ -223,9 +240,44 @@ def test_plan_holds_exactly_the_histogram(seed):
     assert (got == hist).all()
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_plan_is_close_to_the_bound(spark, sf_dir, times):
+    """Sequences on the lengths of documents, as they are and with more of each."""
+    enc = packing.Encoder(packing.vocabulary_path(packing.VOCABULARY))
+    hist = np.zeros(1025, np.int64)
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect():
+        n = len(enc.ids(r.text or "")) // 4 + 1
+        hist[1024] += n // 1024
+        hist[n % 1024] += n % 1024 > 0
+    made = packing.plan(hist * times)
+    bound = -(-int((hist * times * np.arange(1025)).sum()) // 1024)
+    sequences = sum(n for _, n in made)
+    alone = sum(n for _, n in packing.best_fit(np.r_[hist[:-1], 0] * times, 1024)) + hist[1024] * times
+    assert sequences <= min(alone, bound * 1.002 + 1)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_ranks_by_either_join(docs, limit):
+    rows = packing.pieces(docs, packing.vocabulary_path(packing.VOCABULARY), 64)
+    from weftline.llm.common import stage
+
+    out = packing.packed(stage(rows, "pieces"), 64, limit).toPandas()
+    assert not out.duplicated(["sequence_id", "offset"]).any() and out.groupby("sequence_id").length.sum().max() <= 64
+
+
 # operator 6
 
 
+def test_bucket_pointers_stand_for_bytes():
+    rng = np.random.default_rng(6)
+    for n in (199, 200, 207, 1500):
+        d = np.tile(rng.integers(97, 99, 90).astype(np.uint8), -(-n // 90))[:n].copy()
+        d[n // 2] = 1
+        p, raw = suffix_dedup.bucket_pointers(d), d.tobytes()
+        strings = [raw[i : i + 200] for i in range(len(raw) - 199)]
+        assert len(p) == len(strings) and len({*zip(strings, p.tolist(), strict=True)}) == len(set(strings)) == len(set(p.tolist()))
+
+
 def slow_removal(texts: list[bytes]) -> list[tuple]:
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     out = []
@@ -247,6 +299,20 @@ def test_removed_strings(docs, texts, limits):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot": 2}])
+def test_removal_across_blocks(spark, monkeypatch, limits):
+    """Repeated strings that lie over the ends of a long text's blocks."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 300)
+    rng = np.random.default_rng(7)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = [word(450), word(230)]
+    rows = [word(250) + shared[0] + word(77), word(31) + shared[0] + word(500) + shared[1], shared[1] + word(10), word(2500), shared[0][100:] + word(3)]
+    rows += [rows[3][600:1700]]
+    got = suffix_dedup.removed(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), **limits).collect()
+    want = slow_removal([t.encode() for t in rows])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+
+
 def test_removed_strings_of_long_texts(monkeypatch):
     """Blocks of a long text: every window is looked at in one of them."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 300)
