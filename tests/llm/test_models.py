@@ -114,25 +114,36 @@ def slow_line_dedup(rows: list[str | None]) -> list[str | None]:
     for t, c in zip(texts, part, strict=True):
         for x in t.split("\n"):
             stands[tokens(x)].add(c)
-    leaves, words, templates = defaultdict(set), defaultdict(set), defaultdict(set)
     lines = [x for x in stands if len(x) >= 3]
+    allowed = lambda x: min(3, len(x) // 4)
+
+    def parts(x: tuple) -> list[tuple]:
+        k = allowed(x) + 1
+        cuts = [2 + (len(x) - 2) * i // k for i in range(k + 1)]
+        return [(len(x), x[:2], i, x[cuts[i] : cuts[i + 1]]) for i in range(k)]
+
+    leaves, common, words, templates = (defaultdict(set) for _ in range(4))
     for x in lines:
         leaves[len(x), x[:2]] |= stands[x]
+        for p in parts(x):
+            common[p] |= stands[x]
+    lines = [x for x in lines if len(leaves[len(x), x[:2]]) >= enough(x) and any(len(common[p]) >= enough(x) for p in parts(x))]
+    for x in lines:
         for i, w in enumerate(x[2:], 2):
             words[len(x), x[:2], i, w] |= stands[x]
 
     def template(x: tuple) -> tuple | None:
-        if len(x) < 3 or len(leaves[len(x), x[:2]]) < enough(x):
-            return None
         made = x[:2] + tuple(w if len(words[len(x), x[:2], i, w]) >= enough(x) else None for i, w in enumerate(x[2:], 2))
         learnt = made.count(None)
-        return made if 4 * learnt <= len(x) and 2 * (learnt + sum(w == "<*>" for w in x)) <= len(x) else None
+        return made if learnt <= allowed(x) and 2 * (learnt + sum(w == "<*>" for w in x)) <= len(x) else None
 
     for x in lines:
         templates[template(x)] |= stands[x]
 
+    looked = set(lines)
+
     def drops(line: str) -> bool:
-        made = template(tokens(line))
+        made = template(tokens(line)) if tokens(line) in looked else None
         return made is not None and len(templates[made]) >= (10 if None in made or len(made) < 8 else 3)
 
     return [t and "\n".join(x for x in t.split("\n") if not drops(x)) for t in rows]
@@ -167,71 +178,38 @@ def bodies(rnd, n: int, words: int = 60) -> list[str]:
     return ["\n".join(" ".join(word() for _ in range(words // 4)) for _ in range(3)) + f"\n{'x' * 20}{'abcdefghijkl'[i % 12]} {word()} {word()} {word()}" for i in range(n)]
 
 
-def test_lines_of_copied_documents(spark):
-    """A line of many different documents goes, however often one of them is copied and however few the longest tokens are."""
-    rnd = random.Random(11)
+def probes(rnd) -> dict[str, list[tuple[str, int]]]:
+    """Documents with what is to be dropped of them, by what they show."""
+    made: dict[str, list[tuple[str, int]]] = {}
+    name = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7)).title()
     one, *others = bodies(rnd, 60)
     licence = "this text may be used under the licence"
     rows = [f"{t}\n{licence}" for t in others] + [f"{one}\n{licence}"] * 300 + [f"{one}\n{licence}\nrevised {i} {t[:5]}" for i, t in enumerate(others)]
-    assert dropped(spark, rows) == [1] * len(rows)
-
-
-def test_lines_that_recur_together(spark):
-    """A footer of several lines goes, though it holds the longest token of all its documents."""
-    rnd = random.Random(12)
+    made["a line of many documents, one of which is copied often"] = [(t, 1) for t in rows]
     footer = "all of the rights are reserved\nsee https://www.example.org/terms-and-conditions for the terms\nthis page has been made by hand"
-    assert dropped(spark, [f"{t}\n{footer}" for t in bodies(rnd, 30)]) == [3] * 30
-
-
-def test_passages_of_few_documents(spark):
-    """A long line in 3 to 9 different documents goes, one in 2 stays; so does a short one in 9."""
-    rnd = random.Random(13)
-    texts = bodies(rnd, 51, 240)
-    rows, want = [], []
-    for n in (2, 3, 5, 9):
+    made["lines that recur together and hold the longest token"] = [(f"{t}\n{footer}", 3) for t in bodies(rnd, 30)]
+    made["passages"] = []
+    for n in (2, 3, 5, 9):  # a long line in 3 different documents or more goes, one in 2 stays
         passage = " ".join("".join(rnd.choice("klmnopqr") for _ in range(6)) for _ in range(55))
-        rows += [f"{texts.pop()}\n{passage}" for _ in range(n)]
-        want += [int(n > 2)] * n
-    rows += [f"{texts.pop()}\nend of page" for _ in range(9)]
-    assert dropped(spark, rows) == want + [0] * 9
-
-
-def test_a_footer_with_a_long_address(spark):
-    rnd = random.Random(21)
-    assert dropped(spark, [f"{t}\nAll rights of this work are reserved\nmore at https://www.example.org/{'long/' * 30}" for t in bodies(rnd, 200)]) == [2] * 200
-
-
-def test_equal_documents_of_one_line(spark):
-    """Equal texts are one document, which near-duplicate removal deals with: no line of theirs recurs."""
-    assert dropped(spark, ["the only line of all these equal documents is this"] * 500) == [0] * 500
-
-
-def test_boilerplate_of_copied_documents(spark):
-    rnd = random.Random(22)
-    assert dropped(spark, [f"{t}\nsubscribe to our letter" for t in bodies(rnd, 300)] * 5) == [1] * 1500
-
-
-def test_fields_of_short_lines(spark):
-    """A name is a field in lines of any length; lines that share their frame with no ten others stay."""
-    rnd = random.Random(23)
-    name = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7)).title()
+        made["passages"] += [(f"{t}\n{passage}", int(n > 2)) for t in bodies(rnd, n, 240)]
+    made["a short line in nine documents"] = [(f"{t}\nend of page", 0) for t in bodies(rnd, 9)]
+    made["a footer with a long address"] = [(f"{t}\nAll rights of this work belong elsewhere\nmore at https://www.example.org/{'long/' * 30}", 2) for t in bodies(rnd, 200)]
+    # equal texts are one document, which near-duplicate removal deals with
+    made["equal documents of one line"] = [("the only line of all these equal documents is this", 0)] * 500
+    made["a line of documents that are copied five times"] = [(f"{t}\nsubscribe to our letter", 1) for t in bodies(rnd, 300)] * 5
     texts = bodies(rnd, 324)
-    rows = [f"{t}\nPosted by {name()} on a sunny day" for t in texts[:300]]
-    rows += [f"{t}\nWritten for {name()} in the last week" for t in texts[300:309]]
-    rows += [f"{t}\nWhen all {name()} {name()} {name()} came home" for t in texts[309:]]
-    assert dropped(spark, rows) == [1] * 300 + [0] * 24
-
-
-def test_columns_of_numbers_stay(spark):
-    rnd = random.Random(24)
-    assert dropped(spark, [f"{t}\n{i} {i * 7} {i + 3} 12.5" for i, t in enumerate(bodies(rnd, 40))]) == [0] * 40
-
-
-def test_clean_lines_keeps_columns(spark, lined):
-    docs = spark.createDataFrame([(d, t, len(t or ""), 5, "x") for d, t in lined], "doc_id long, text string, n_chars long, n_lines int, n_dropped string")
-    out = line_dedup.clean_lines(docs)
-    assert out.columns == docs.columns and out.count() == len(lined)
-    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.n_lines == 5 for r in out.collect())
+    made["a name in a short line"] = [(f"{t}\nPosted by {name()} on a sunny day", 1) for t in texts[:300]]
+    made["a name in a short line of nine documents"] = [(f"{t}\nWritten for {name()} in the last week", 0) for t in texts[300:309]]
+    made["as many names as words"] = [(f"{t}\nWhen all {name()} {name()} {name()} came home", 0) for t in texts[309:]]
+    made["columns of numbers"] = [(f"{t}\n{i} {i * 7} {i + 3} 12.5", 0) for i, t in enumerate(bodies(rnd, 40))]
+    return made
+
+
+def test_lines_that_go_and_stay(spark):
+    made = probes(random.Random(11))
+    rows = [(t, n, what) for what, own in made.items() for t, n in own]
+    got = dropped(spark, [t for t, _, _ in rows])
+    assert {what: sum(g != n for g, (_, n, w) in zip(got, rows, strict=True) if w == what) for what in made} == dict.fromkeys(made, 0)
 
 
 # operator 8

@@ -3,7 +3,11 @@
 A line goes down a tree of fixed depth: its token count, then its first two tokens; tokens with a digit are the variable field <*>
 from the start. In the leaf it has a template: a token that stands at its place in lines of enough copy classes is fixed, any other
 is a variable field. So lines of any length that differ in some places meet in one template, which does not depend on the order
-of arrival. A template counts if at most one in FIELD_PART of its tokens is a learnt field and at least half are no fields at all.
+of arrival. A template counts if it has at most FIELDS learnt fields and one in FIELD_PART of its tokens, and if at least half of its
+tokens are no fields at all.
+
+Most lines are seen early not to be such: the tokens below the leaf are cut into one part more than there may be learnt fields, so
+one part at least is the same in all lines of a template. Only lines with a part that stands in enough classes are looked into.
 
 A template recurs, and its lines are dropped, if it stands in MIN_CLASSES copy classes or more; in LONG_CLASSES if it has LONG_TOKENS
 or more and no learnt field, as no such line is three times the same by accident. The same numbers make a token fixed. Two documents
@@ -13,7 +17,7 @@ copies and revisions of one document count once, so their text is not taken for
 otherwise different documents leave those in classes of their own. Near-duplicate removal, not this operator, is for copies.
 
 Everything that is counted is a set of (what, class) first, combined before its shuffle, so a line of a third of all documents, or
-a text copied as often, is a row a task. Only leaves of enough classes are looked into. The names of the lines to drop are sent to
+a text copied as often, is a row a task. The names of the lines to drop are sent to
 the tasks if they are at most BROADCAST_LINES; beyond that, lines meet them in a join.
 
 Defined results: a null text stays null and has no lines; an empty text stays empty; lines of fewer than MIN_TOKENS tokens are kept;
@@ -29,7 +33,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import per_text, stage, table
@@ -40,38 +44,70 @@ LEADING = 2
 LONG_TOKENS = 8
 LONG_CLASSES = 3
 MIN_CLASSES = 10
+FIELDS = 3
 FIELD_PART = 4
 COPY_SIMILARITY = 0.5
 BROADCAST_LINES = 500_000
 FIELD = "<*>"
-VARIABLE = re.compile(r"\S*[0-9]\S*")
+DIGIT = re.compile("[0-9]")
+
+
+def tokens_of(line: str) -> list[str]:
+    tokens = line.split()
+    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
-def parsed(text: str) -> list[list[str]]:
-    """The tokens of each line; as many lines as text.split("\\n") has."""
-    return [x.split() for x in VARIABLE.sub(FIELD, text).split("\n")]
+def signed(h: int) -> int:
+    return h - (h >> 63 << 64)
 
 
 def name(line: str) -> int:
     """As F.xxhash64 of the string."""
-    h = xxhash.xxh64_intdigest(line.encode(), 42)
-    return h - (h >> 63 << 64)
+    return signed(xxhash.xxh64_intdigest(line.encode(), 42))
+
+
+def parsed(text: str) -> dict[str, list[str]]:
+    """The different lines of a text that are long enough, masked and with single spaces, and their tokens."""
+    return {" ".join(t): t for t in map(tokens_of, text.split("\n")) if len(t) >= MIN_TOKENS}
+
+
+def fields_allowed(n: int) -> int:
+    return min(FIELDS, n // FIELD_PART)
+
+
+def place(tokens: list[str]) -> tuple[int, list[int]]:
+    """The leaf of a line, and its parts below the leaf."""
+    n, below = len(tokens), len(tokens) - LEADING
+    leaf = xxhash.xxh64_intdigest(f"{n} {' '.join(tokens[:LEADING])}")
+    parts = fields_allowed(n) + 1
+    cuts = [LEADING + below * i // parts for i in range(parts + 1)]
+    return signed(leaf), [signed(xxhash.xxh64_intdigest(" ".join(tokens[a:b]), leaf + i & (1 << 64) - 1)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
-def lines_of(texts: DataFrame) -> DataFrame:
-    """(of, leaf, n, line): the different lines of ``texts`` (of, text) that have a leaf, their tokens joined by spaces."""
+def placed_lines(texts: DataFrame) -> DataFrame:
+    """(of, name, n, leaf, parts): the different lines of each of ``texts`` (of, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, leaf, n, line = [], [], [], []
-        for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for x in {" ".join(x): x for x in parsed(t) if len(x) >= MIN_TOKENS}.items():
-                of.append(h)
-                leaf.append(name(f"{len(x[1])} {' '.join(x[1][:LEADING])}"))
-                n.append(len(x[1]))
-                line.append(x[0])
-        return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(leaf, pa.int64()), pa.array(n, pa.int32()), pa.array(line, pa.string())], ["of", "leaf", "n", "line"])
+        rows = [(h, name(line), len(t), *place(t)) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line, t in parsed(x).items()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["of", "name", "n", "leaf", "parts"])
 
-    return per_text(texts, run, "of long, leaf long, n int, line string")
+    return per_text(texts, run, "of long, name long, n int, leaf long, parts array<long>")
+
+
+def named_lines(texts: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(of, name, line): the lines of ``texts`` (of, text) whose names are in ``names`` (name)."""
+    few = names.count() <= limit
+    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in names.toLocalIterator())) if few else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(h, name(line), line) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line in parsed(x)]
+        if wanted is not None:
+            rows = [r for r in rows if r[1] in wanted.value]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["of", "name", "line"])
+
+    lines = per_text(texts, run, "of long, name long, line string")
+    return lines if few else lines.join(names, "name", "left_semi")
 
 
 def met(rows: DataFrame, small: DataFrame, on: str, how: str, limit: int) -> DataFrame:
@@ -85,32 +121,35 @@ def line_templates(docs: DataFrame, text: str = "text", broadcast_limit: int = B
     texts = docs.where(F.length(text) > 0).select(F.xxhash64(F.col(text)).alias("of"), F.col(text).alias("text"))
     classes = sketch_components(texts.withColumnRenamed("of", "doc_id"), COPY_SIMILARITY)
     copies = stage(classes.where("doc_id <> component_id").distinct().withColumnsRenamed({"doc_id": "of", "component_id": "class"}), "copy-classes")
-    lines = lines_of(texts)
     enough = F.when(F.col("n") >= LONG_TOKENS, LONG_CLASSES).otherwise(MIN_CLASSES)
 
     def classed(rows: DataFrame) -> DataFrame:
         own = [c for c in rows.columns if c != "of"]
         return met(rows.distinct(), copies, "of", "left", broadcast_limit).select(*own, F.coalesce("class", "of").alias("class")).distinct()
 
-    def support(rows: DataFrame, *by: str | Column) -> DataFrame:
-        return rows.select(*by, "class").distinct().groupBy(*[c for c in rows.select(*by).columns]).agg(F.count(F.lit(1)).alias("classes"))
-
-    leaves = stage(support(classed(lines.select("of", "leaf", "n")), "leaf", "n").where(F.col("classes") >= enough).select("leaf"), "leaves")
-    alive = stage(classed(met(lines, leaves, "leaf", "left_semi", broadcast_limit)), "lines")
-    word = F.xxhash64("leaf", "pos", "token").alias("word")
-
-    def words(rows: DataFrame, *own: str) -> DataFrame:
-        return rows.select(*own, "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= LEADING).select(*own, "pos", word)
-
-    fixed = stage(support(words(alive, "n", "class"), "n", "word").where(F.col("classes") >= enough).select("word"), "words")
-    each = stage(alive.select("leaf", "n", "line").distinct().withColumn("name", F.xxhash64("line")), "different-lines")
-    places = met(words(each, "name"), fixed, "word", "left_semi", broadcast_limit).groupBy("name").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    def support(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select(*by, "class").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("classes"))
+
+    every = stage(placed_lines(texts), "placed-lines")
+    leaves = stage(support(classed(every.select("of", "leaf", "n")), "leaf", "n").where(F.col("classes") >= enough).select("leaf"), "leaves")
+    lines = stage(classed(met(every, leaves, "leaf", "left_semi", broadcast_limit).select("of", "name", "n", "leaf", "parts")), "lines-of-classes")
+    parts = support(lines.select("n", "class", F.explode("parts").alias("part")), "n", "part").where(F.col("classes") >= enough).select("part")
+    kinds = lines.select("name", "n", "leaf", "parts").distinct()
+    names = met(kinds.select("name", F.explode("parts").alias("part")), stage(parts, "parts"), "part", "left_semi", broadcast_limit).select("name").distinct()
+    names = stage(names, "names")
+    texts_of = stage(named_lines(texts, names, broadcast_limit).select("name", "line").distinct(), "different-lines")
+    each = stage(met(kinds.select("name", "n", "leaf"), texts_of, "name", "inner", broadcast_limit), "lines")
+    alive = stage(met(lines.select("name", "n", "class"), names, "name", "left_semi", broadcast_limit), "alive-lines")
     tokens = F.split("line", " ")
+    words = each.select("name", "n", "leaf", F.posexplode(tokens).alias("pos", "token")).where(F.col("pos") >= LEADING).select("name", "n", "pos", F.xxhash64("leaf", "pos", "token").alias("word"))
+    words = stage(words, "words")
+    fixed = stage(support(alive.join(words.drop("n"), "name"), "n", "word").where(F.col("classes") >= enough).select("word"), "fixed")
+    places = met(words, fixed, "word", "left_semi", broadcast_limit).groupBy("name").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     fields = F.size(F.filter(tokens, lambda x: x == FIELD))
     made = each.join(places, "name", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>"))).withColumn("learnt", F.col("n") - LEADING - F.size("at"))
-    made = made.where((FIELD_PART * F.col("learnt") <= F.col("n")) & (2 * (F.col("learnt") + fields) <= F.col("n")))
+    made = made.where((F.col("learnt") <= F.least(F.lit(FIELDS), F.floor(F.col("n") / FIELD_PART))) & (2 * (F.col("learnt") + fields) <= F.col("n")))
     made = stage(made.select("line", "name", "n", "learnt", F.xxhash64("leaf", "at", F.transform("at", lambda p: F.get(tokens, p))).alias("template")), "templates")
-    stands = met(alive.select(F.xxhash64("line").alias("name"), "class"), made.select("name", "template"), "name", "inner", broadcast_limit)
+    stands = met(alive.select("name", "class"), made.select("name", "template"), "name", "inner", broadcast_limit)
     counts = stage(support(stands, "template"), "template-classes")
     return met(made, counts, "template", "inner", broadcast_limit)
 
@@ -123,8 +162,13 @@ def recurring(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADC
 
 def without(text: str, drop: frozenset[int]) -> tuple[str, int]:
     """The text without the lines named in ``drop``, and how many those are."""
+
+    def stays(line: str) -> bool:
+        tokens = tokens_of(line)
+        return len(tokens) < MIN_TOKENS or name(" ".join(tokens)) not in drop
+
     lines = text.split("\n")
-    keep = [x for x, t in zip(lines, parsed(text), strict=True) if len(t) < MIN_TOKENS or name(" ".join(t)) not in drop]
+    keep = [x for x in lines if stays(x)]
     return (text, 0) if len(keep) == len(lines) else ("\n".join(keep), len(lines) - len(keep))
 
 
@@ -149,8 +193,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BR
         names = spark.sparkContext.broadcast(frozenset(r[0] for r in found.toLocalIterator()))
         return per_text(docs, lambda batch: cut(batch, [names.value] * batch.num_rows), out)
     keyed = docs.withColumn("_of", F.xxhash64(F.col(text)))
-    lines = lines_of(keyed.where(F.length(text) > 0).select(F.col("_of").alias("of"), F.col(text).alias("text")))
-    drops = lines.select(F.col("of").alias("_of"), F.xxhash64("line").alias("name")).distinct().join(found, "name", "left_semi").groupBy("_of").agg(F.collect_list("name").alias("_drops"))
+    lines = named_lines(keyed.where(F.length(text) > 0).select(F.col("_of").alias("of"), F.col(text).alias("text")), found, -1)
+    drops = lines.select(F.col("of").alias("_of"), "name").distinct().groupBy("_of").agg(F.collect_list("name").alias("_drops"))
     rows = keyed.join(drops, "_of", "left").select(*[docs[c] for c in columns], "_drops")
     return per_text(rows, lambda b: cut(b, [frozenset(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
 

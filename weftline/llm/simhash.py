@@ -204,13 +204,19 @@ def wide_radius(similarity: float = SIMILARITY, spare: float = SPARE, bits: int
 
 
 def shingle_hashes(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted."""
+    """The distinct hashes of a text's word shingles, sorted; a shingle's is made of its words' hashes in their order."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
-    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), np.uint64))
+    word = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
+    h = word[: len(word) - k + 1].copy()
+    for i in range(1, k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += word[i : len(word) - k + 1 + i]
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ h >> np.uint64(32))
 
 
 def set_name(h: np.ndarray) -> int:
