@@ -186,12 +186,9 @@ def test_every_pair_of_a_large_key_is_compared(spark, tile):
     rows = [(7, n, (1 << int(b) + 8) - 1 if n % 40 != 29 else (1 << 17) - 1 - (n >= 40), 0, 0, 0) for n, b in enumerate([*near, *(far + 4)])]
     sketch = [int(r[2]) for r in rows]
     df = spark.createDataFrame(rows, "key long, node long, f0 long, f1 long, f2 long, f3 long")
-    import unittest.mock as mock
-
     from weftline.llm.common import components as joined
 
-    with mock.patch.object(simhash, "wide_radius", lambda similarity, spare: 6):
-        roots = {r.node: r.root for r in joined(simhash.key_links(df, 0.8, tile)).collect()}
+    roots = {r.node: r.root for r in joined(simhash.key_links(df, 0.8, tile, radius=6)).collect()}
     want = components(list(range(80)), lambda i, j: (sketch[i] ^ sketch[j]).bit_count() <= 6)
     assert {n: roots.get(n, n) for n in range(80)} == want
 

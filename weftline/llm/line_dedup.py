@@ -28,7 +28,6 @@ every other byte stays; further columns of the input are kept as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -49,12 +48,16 @@ FIELD_PART = 4
 COPY_SIMILARITY = 0.5
 BROADCAST_LINES = 500_000
 FIELD = "<*>"
-DIGIT = re.compile("[0-9]")
+DIGITS = tuple("0123456789")
+
+
+def has_digit(text: str) -> bool:
+    return any(map(text.__contains__, DIGITS))
 
 
 def tokens_of(line: str) -> list[str]:
     tokens = line.split()
-    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
+    return [FIELD if has_digit(t) else t for t in tokens] if has_digit(line) else tokens
 
 
 def signed(h: int) -> int:
@@ -115,6 +118,31 @@ def met(rows: DataFrame, small: DataFrame, on: str, how: str, limit: int) -> Dat
     return rows.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
+def words_of(lines: DataFrame) -> DataFrame:
+    """(name, words): the names of the tokens below the leaf, each at its place, of ``lines`` (name, leaf, line)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        words = [[signed(xxhash.xxh64_intdigest(t, leaf + i & (1 << 64) - 1)) for i, t in enumerate(line.split(" ")[LEADING:])] for leaf, line in rows]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["name", "words"])
+
+    return per_text(lines.select("name", "leaf", "line"), run, "name long, words array<long>")
+
+
+def fixed_places(words: DataFrame, fixed: DataFrame, limit: int) -> DataFrame:
+    """(name, at): the places of a line's fixed tokens, in order."""
+    if fixed.count() > limit:
+        each = words.select("name", F.posexplode("words").alias("pos", "word")).join(fixed, "word", "left_semi")
+        return each.groupBy("name").agg(F.sort_array(F.collect_list(F.col("pos") + LEADING)).alias("at"))
+    known = words.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in fixed.toLocalIterator()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = [[LEADING + i for i, w in enumerate(own) if w in known.value] for own in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["name", "at"])
+
+    return per_text(words, run, "name long, at array<int>")
+
+
 def line_templates(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADCAST_LINES) -> DataFrame:
     """(line, name, template, learnt, n, classes): the different lines (masked) in leaves of enough classes, the name of each one's
     template, its number of learnt fields and the copy classes it stands in; only templates that count."""
@@ -140,11 +168,10 @@ def line_templates(docs: DataFrame, text: str = "text", broadcast_limit: int = B
     texts_of = stage(named_lines(texts, names, broadcast_limit).select("name", "line").distinct(), "different-lines")
     each = stage(met(kinds.select("name", "n", "leaf"), texts_of, "name", "inner", broadcast_limit), "lines")
     alive = stage(met(lines.select("name", "n", "class"), names, "name", "left_semi", broadcast_limit), "alive-lines")
+    words = stage(words_of(each), "words")
+    fixed = stage(support(alive.join(words.select("name", F.explode("words").alias("word")), "name"), "n", "word").where(F.col("classes") >= enough).select("word"), "fixed")
+    places = fixed_places(words, fixed, broadcast_limit)
     tokens = F.split("line", " ")
-    words = each.select("name", "n", "leaf", F.posexplode(tokens).alias("pos", "token")).where(F.col("pos") >= LEADING).select("name", "n", "pos", F.xxhash64("leaf", "pos", "token").alias("word"))
-    words = stage(words, "words")
-    fixed = stage(support(alive.join(words.drop("n"), "name"), "n", "word").where(F.col("classes") >= enough).select("word"), "fixed")
-    places = met(words, fixed, "word", "left_semi", broadcast_limit).groupBy("name").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     fields = F.size(F.filter(tokens, lambda x: x == FIELD))
     made = each.join(places, "name", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>"))).withColumn("learnt", F.col("n") - LEADING - F.size("at"))
     made = made.where((F.col("learnt") <= F.least(F.lit(FIELDS), F.floor(F.col("n") / FIELD_PART))) & (2 * (F.col("learnt") + fields) <= F.col("n")))
