@@ -47,6 +47,7 @@ FIELDS = 3
 FIELD_PART = 4
 COPY_SIMILARITY = 0.5
 BROADCAST_LINES = 500_000
+LEAD_BITS = 20
 FIELD = "<*>"
 DIGITS = tuple("0123456789")
 
@@ -55,18 +56,42 @@ def has_digit(text: str) -> bool:
     return any(map(text.__contains__, DIGITS))
 
 
+def masked(token: str) -> str:
+    return token if token.isalpha() or not has_digit(token) else FIELD
+
+
 def tokens_of(line: str) -> list[str]:
-    tokens = line.split()
-    return [FIELD if has_digit(t) else t for t in tokens] if has_digit(line) else tokens
+    return [*map(masked, line.split())] if has_digit(line) else line.split()
 
 
 def signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def name(line: str) -> int:
-    """As F.xxhash64 of the string."""
-    return signed(xxhash.xxh64_intdigest(line.encode(), 42))
+def lead(first: str, second: str) -> int:
+    return xxhash.xxh64_intdigest(f"{first} {second}") >> 64 - LEAD_BITS
+
+
+def name(tokens: list[str]) -> int:
+    """A line's name: its leading tokens' hash in the upper LEAD_BITS bits, by which most lines are seen not to be wanted, and its own."""
+    below = 64 - LEAD_BITS
+    return signed(lead(tokens[0], tokens[1]) << below | xxhash.xxh64_intdigest(" ".join(tokens)) & (1 << below) - 1)
+
+
+class Names:
+    """A set of line names."""
+
+    def __init__(self, names: Iterable[int]) -> None:
+        self.names = frozenset(names)
+        self.leads = frozenset((n & (1 << 64) - 1) >> 64 - LEAD_BITS for n in self.names)
+
+    def tokens(self, line: str) -> list[str] | None:
+        """The tokens of a line whose name is in the set, or None."""
+        start = line.split(None, LEADING)
+        if len(start) <= LEADING or lead(masked(start[0]), masked(start[1])) not in self.leads:
+            return None
+        tokens = tokens_of(line)
+        return tokens if name(tokens) in self.names else None
 
 
 def parsed(text: str) -> dict[str, list[str]]:
@@ -91,7 +116,7 @@ def placed_lines(texts: DataFrame) -> DataFrame:
     """(of, name, n, leaf, parts): the different lines of each of ``texts`` (of, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(h, name(line), len(t), *place(t)) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line, t in parsed(x).items()]
+        rows = [(h, name(t), len(t), *place(t)) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in parsed(x).values()]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["of", "name", "n", "leaf", "parts"])
 
@@ -101,12 +126,15 @@ def placed_lines(texts: DataFrame) -> DataFrame:
 def named_lines(texts: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """(of, name, line): the lines of ``texts`` (of, text) whose names are in ``names`` (name)."""
     few = names.count() <= limit
-    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in names.toLocalIterator())) if few else None
+    wanted = texts.sparkSession.sparkContext.broadcast(Names(r[0] for r in names.toLocalIterator())) if few else None
+
+    def lines_in(text: str) -> list[list[str]]:
+        if wanted is None:
+            return [*parsed(text).values()]
+        return [t for t in map(wanted.value.tokens, dict.fromkeys(text.split("\n"))) if t]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(h, name(line), line) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line in parsed(x)]
-        if wanted is not None:
-            rows = [r for r in rows if r[1] in wanted.value]
+        rows = [(h, name(t), " ".join(t)) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in lines_in(x)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["of", "name", "line"])
 
     lines = per_text(texts, run, "of long, name long, line string")
@@ -187,15 +215,10 @@ def recurring(docs: DataFrame, text: str = "text", broadcast_limit: int = BROADC
     return line_templates(docs, text, broadcast_limit).where(F.col("classes") >= enough).select("name").distinct()
 
 
-def without(text: str, drop: frozenset[int]) -> tuple[str, int]:
+def without(text: str, drop: Names) -> tuple[str, int]:
     """The text without the lines named in ``drop``, and how many those are."""
-
-    def stays(line: str) -> bool:
-        tokens = tokens_of(line)
-        return len(tokens) < MIN_TOKENS or name(" ".join(tokens)) not in drop
-
     lines = text.split("\n")
-    keep = [x for x in lines if stays(x)]
+    keep = [x for x in lines if not drop.tokens(x)]
     return (text, 0) if len(keep) == len(lines) else ("\n".join(keep), len(lines) - len(keep))
 
 
@@ -208,7 +231,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BR
     at = columns.index(text)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
 
-    def cut(batch: pa.RecordBatch, drops: Iterable[frozenset[int]]) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, drops: Iterable[Names]) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()
         done = [(t, 0) if not t else without(t, d) for t, d in zip(texts, drops, strict=True)]
         own = [batch.column(i) for i in range(len(columns))]
@@ -217,13 +240,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", broadcast_limit: int = BR
         return pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array([d[1] for d in done], pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     if found.count() <= broadcast_limit:
-        names = spark.sparkContext.broadcast(frozenset(r[0] for r in found.toLocalIterator()))
+        names = spark.sparkContext.broadcast(Names(r[0] for r in found.toLocalIterator()))
         return per_text(docs, lambda batch: cut(batch, [names.value] * batch.num_rows), out)
     keyed = docs.withColumn("_of", F.xxhash64(F.col(text)))
     lines = named_lines(keyed.where(F.length(text) > 0).select(F.col("_of").alias("of"), F.col(text).alias("text")), found, -1)
     drops = lines.select(F.col("of").alias("_of"), "name").distinct().groupBy("_of").agg(F.collect_list("name").alias("_drops"))
     rows = keyed.join(drops, "_of", "left").select(*[docs[c] for c in columns], "_drops")
-    return per_text(rows, lambda b: cut(b, [frozenset(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
+    return per_text(rows, lambda b: cut(b, [Names(d or ()) for d in b.column(len(columns)).to_pylist()]), out)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
