@@ -190,10 +190,26 @@ def test_collect_errors_is_bounded_and_counts_all(spark):
 
 def test_tuple_sketch_above_its_size(spark):
     df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") % 10_000).alias("k"), F.lit(1.0).alias("v"))
-    s = sketches.tuple_sketch(df, ["g"], "k", "v", lg=10).select(sketches.estimate("sketch", 10).alias("e"), sketches.theta("sketch", 10).alias("t"), sketches.summary("sketch", 10).alias("s")).first()
+    s = sketches.tuple_sketch(df, ["g"], "k", "v", lg=10).select(sketches.estimate("sketch").alias("e"), sketches.theta("sketch").alias("t"), sketches.summary("sketch").alias("s")).first()
     assert abs(s.e / 10_000 - 1) < 0.1 and 0 < s.t < 1 and abs(s.s / 20_000 - 1) < 0.1
 
 
+def test_set_operations_of_full_sketches(spark):
+    """Two sets of 20,000 that share 10,000, in sketches of 4,096 and of 256 keys, against the same on the hashes below theta."""
+    for lg in (12, 8):
+        a, b = (sketches.tuple_sketch(spark.range(low, low + 20_000).select("id", F.lit(1).alias("v")), [], "id", "v", lg, kind="bigint").withColumnRenamed("sketch", n) for low, n in ((0, "a"), (10_000, "b")))
+        made = a.crossJoin(b).select("a", "b", sketches.union("a", "b", lg).alias("u"), sketches.intersection("a", "b", lg).alias("i"), sketches.difference("a", "b", lg).alias("d"), sketches.union_theta("a", sketches.theta_sketch("b"), lg, 1).alias("t")).first()
+        for got, exact in ((made.u, 30_000), (made.i, 10_000), (made.d, 10_000), (made.t, 30_000)):
+            assert abs(len(got.entries) / got.theta - exact) < 4 * 30_000 / 2 ** (lg / 2)
+        x, y = ({e.h: e.s for e in side.entries} for side in (made.a, made.b))
+        least = min(made.a.theta, made.b.theta)
+        both = {e.h for e in made.a.entries if e.u < least} & {e.h for e in made.b.entries if e.u < least}
+        assert {e.h: e.s for e in made.i.entries} == {h: x[h] + y[h] for h in both}
+        assert {e.h for e in made.d.entries} == {e.h for e in made.a.entries if e.u < least} - y.keys()
+        order = sorted({(e.u, e.h) for side in (made.a, made.b) for e in side.entries if e.u < least})
+        assert [(e.u, e.h) for e in made.u.entries] == order[: 1 << lg] and len(made.u.entries) == 1 << lg
+
+
 def test_sources_round_trip(spark, people, tmp_path):
     for fmt in ("parquet", "orc", "json"):
         sources.write(people, str(tmp_path / fmt), fmt)

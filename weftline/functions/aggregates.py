@@ -38,7 +38,8 @@ def any_value(c) -> Column:
 
 
 def max_n(c, n: int) -> Column:
-    """The n largest values, falling. Gathers a group's values: for large groups use ``operators.topk.top_per_group``."""
+    """The n largest values, falling. Gathers a group's values, as Spark has no bounded form: for large groups use
+    ``weftline.operators.aggregation.top_per_group``, which keeps n rows of a group in each task."""
     return F.slice(F.sort_array(F.collect_list(column(c)), asc=False), 1, n)
 
 

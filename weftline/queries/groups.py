@@ -174,6 +174,45 @@ def _tuple_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(i, "l_returnflag", "left").select("l_returnflag", "either", F.coalesce("every", F.lit(0.0)).alias("every"))
 
 
+FULL_SETS = "WITH f AS (SELECT l_partkey, max((l_returnflag = 'A')::INT) a, max((l_returnflag = 'R')::INT) r FROM lineitem GROUP BY 1) SELECT sum(greatest(a, r))::BIGINT AS either, sum(least(a, r))::BIGINT AS both, sum(greatest(a - r, 0))::BIGINT AS only, true AS either_close, true AS both_close, true AS only_close, count(*) FILTER (a = 1) > 128 AS \"full\" FROM f"
+SMALL = 7  # sketches of 128 keys, which the tables fill
+
+
+def _close(estimate: Column, exact: Column, union: Column) -> Column:
+    """Whether an estimate is as close to the exact number as sketches of 128 keys of the union are expected to be, with four deviations."""
+    return F.abs(estimate - exact) <= 4 * union / F.sqrt(F.lit(1 << SMALL)) + 1
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = _read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max((F.col("l_returnflag") == "A").cast("int")).alias("a"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("r"))
+    return flags.agg(F.sum(F.greatest("a", "r")).alias("either"), F.sum(F.least("a", "r")).alias("both"), F.sum(F.greatest(F.col("a") - F.col("r"), F.lit(0))).alias("only"))
+
+
+def _sets_full(spark: SparkSession, sf_dir: str, right) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem")
+    a, b = (K.tuple_sketch(lines.where(F.col("l_returnflag") == flag), [], "l_partkey", "l_quantity", SMALL).withColumnRenamed("sketch", name) for flag, name in (("A", "a"), ("R", "b")))
+    made = a.crossJoin(b).crossJoin(_exact(spark, sf_dir))  # a row each
+    got = {what: K.estimate(fn("a", "b")) for what, fn in right.items()}
+    close = [_close(got[w], F.col(w), F.col("either")).alias(f"{w}_close") for w in got]  # the error is a share of the union
+    return made.select(*[F.col(w).cast("bigint").alias(w) for w in got], *close, (K.theta("a") < 1).alias("full"))
+
+
+def _tuple_sets_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets_full(spark, sf_dir, {"either": lambda a, b: K.union(a, b, SMALL), "both": lambda a, b: K.intersection(a, b, SMALL), "only": lambda a, b: K.difference(a, b, SMALL)})
+
+
+def _theta_sets_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets_full(spark, sf_dir, {"either": lambda a, b: K.union_theta(a, K.theta_sketch(b), SMALL), "both": lambda a, b: K.intersection_theta(a, K.theta_sketch(b), SMALL), "only": lambda a, b: K.difference_theta(a, K.theta_sketch(b), SMALL)})
+
+
+def _tuple_aggs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem")
+    made = K.tuple_sketch(lines, ["l_returnflag", "l_linestatus"], "l_partkey", "l_quantity", SMALL)
+    u = K.union_agg(made, ["l_returnflag"], lg=SMALL).select("l_returnflag", K.estimate("sketch").alias("e"))
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("keys"))
+    return exact.join(u, "l_returnflag").select("l_returnflag", "keys", _close(F.col("e"), F.col("keys"), F.col("keys")).alias("close"))
+
+
 def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
     good, bad = policy.quarantine(part, ratio=policy.divide("p_retailprice", F.col("p_size") % 3), code=policy.element(F.array(F.lit(1), F.lit(2)), F.col("p_size") % 2 + 1))
@@ -188,7 +227,7 @@ def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n: partial(_aggregate, kind=k, value=v) for n, k, v, _ in AGGREGATES} | {n: partial(_window, kind=k, value=v, framed=f) for n, k, v, _, f in WINDOWS} | {
     "grouping": _rollup, "grouping_id": _cube, "grouping_sets": _sets, "top_per_group": _top, "kll_merge_agg": _kll_merge_agg, "tuple_sketch_agg": _tuple_sketch,
-    "tuple_sketch_sets": _tuple_sets, "theta_sketch_sets": _theta_sets, "tuple_sketch_set_aggs": _tuple_aggs, "quarantine": _quarantined, "collect_errors": _collected,
+    "tuple_sketch_sets": _tuple_sets, "theta_sketch_sets": _theta_sets, "tuple_sketch_set_aggs": _tuple_aggs, "tuple_sketch_sets_full": _tuple_sets_full, "theta_sketch_sets_full": _theta_sets_full, "tuple_sketch_set_aggs_full": _tuple_aggs_full, "quarantine": _quarantined, "collect_errors": _collected,
     "current_path": lambda spark, sf_dir: _read(spark, sf_dir, "region").select("r_regionkey", K.current_path().alias("v")),
 }
 ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _window_sql(k, s, f) for n, k, _, s, f in WINDOWS} | {
@@ -199,6 +238,9 @@ ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _
     "kll_merge_agg": "SELECT l_returnflag, count(*) AS v FROM lineitem GROUP BY 1",
     "tuple_sketch_agg": "SELECT l_returnflag, count(DISTINCT l_partkey)::DOUBLE AS keys, round(sum(l_quantity), 2) AS total, 1.0::DOUBLE AS theta FROM lineitem GROUP BY 1",
     "tuple_sketch_sets": "WITH a AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT count(*)::DOUBLE AS either, (count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL))::DOUBLE AS both, (count(*) FILTER (b.k IS NULL))::DOUBLE AS only, round(max(coalesce(a.q + b.q, a.q, b.q)), 2) AS top FROM a FULL JOIN b ON a.k = b.k",
+    "tuple_sketch_sets_full": FULL_SETS,
+    "theta_sketch_sets_full": FULL_SETS,
+    "tuple_sketch_set_aggs_full": "SELECT l_returnflag, count(DISTINCT l_partkey) AS keys, true AS close FROM lineitem GROUP BY 1",
     "theta_sketch_sets": "WITH a AS (SELECT l_partkey k, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT DISTINCT l_partkey k FROM lineitem WHERE l_returnflag = 'R') SELECT count(*)::DOUBLE AS either, (count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL))::DOUBLE AS both, (count(*) FILTER (b.k IS NULL))::DOUBLE AS only, round(sum(a.q) FILTER (b.k IS NOT NULL), 2) AS total FROM a FULL JOIN b ON a.k = b.k",
     "tuple_sketch_set_aggs": "WITH k AS (SELECT l_returnflag, l_partkey, count(DISTINCT l_linestatus) n FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, count(DISTINCT l_linestatus) n FROM lineitem GROUP BY 1) SELECT k.l_returnflag, count(*)::DOUBLE AS either, (count(*) FILTER (k.n = s.n))::DOUBLE AS every FROM k JOIN s USING (l_returnflag) GROUP BY 1",
     "quarantine": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN round(p_retailprice / (p_size % 3), 6) END AS ratio, CASE WHEN p_size % 3 = 0 THEN 'DivisionByZero' END AS error FROM part",
