@@ -188,6 +188,67 @@ def test_collect_errors_is_bounded_and_counts_all(spark):
     assert "_preview" not in policy.quarantine(df, None, r=policy.divide("a", "b"))[1].columns
 
 
+def test_guarded_values_nest(spark):
+    df = spark.createDataFrame([("1", "2", [1, 2]), ("x", "0", [0, 1]), ("6", "0", []), ("9223372036854775807", "1", None), (None, "3", [5, 0])], "a string, b string, xs array<int>")
+    a, b = policy.cast("a", "bigint"), policy.cast("b", "bigint")
+
+    def of(g):
+        return [tuple(r) for r in policy.guarded(df, v=g).select("v", "_error").collect()]
+
+    assert of(a / b) == [(0.5, None), (None, "InvalidValue"), (None, "DivisionByZero"), (9223372036854775807.0, None), (None, None)]
+    assert of(1 + a) == [(2, None), (None, "InvalidValue"), (7, None), (None, "Overflow"), (None, None)]
+    assert of(policy.choose(policy.call(lambda v: v != 0, b), a % b, -1)) == [(1, None), (-1, None), (-1, None), (0, None), (None, None)]
+    assert of(policy.either(a, b)) == [(1, None), (None, "InvalidValue"), (6, None), (9223372036854775807, None), (3, None)]
+    assert of(policy.each("xs", lambda x: policy.divide(10, x))) == [([10.0, 5.0], None), (None, "DivisionByZero"), ([], None), (None, None), (None, "DivisionByZero")]
+    assert of(policy.element("xs", b)) == [(2, None), (None, "IndexOutOfBounds"), (None, "IndexOutOfBounds"), (None, None), (None, "IndexOutOfBounds")]
+    assert of(policy.check(b, b.value > 2, "TooLarge")) == [(2, None), (0, None), (0, None), (1, None), (None, "TooLarge")]
+    assert of(policy.call(lambda v: F.coalesce(v, F.lit(0)), a))[1] == (None, "InvalidValue")
+    deep = a
+    for _ in range(12):
+        deep = policy.call(lambda v: v + 0, deep * 1)
+    assert of(deep)[0] == (1, None)
+
+
+def test_guards_of_texts(spark):
+    df = spark.createDataFrame([("2024-02-29", "%41", "Z0E=", "<a><b>3</b></a>", '{"n": 1}'), ("2023-02-29", "%4", "Z", "<a>", "{"), (None, None, None, None, None)], "d string, u string, b string, x string, j string")
+    guards = {
+        "date": policy.date("d"),
+        "stamp": policy.timestamp("d", "yyyy-MM-dd"),
+        "url": policy.url_decode("u"),
+        "binary": policy.binary("b", "base64"),
+        "xpath": policy.xpath(xpaths.try_xpath_int, "x", "a/b"),
+        "json": policy.variant(policy.json("j"), "$.n", "int"),
+        "number": policy.number(policy.call(lambda d: F.left(d, F.lit(5)), "d"), "9999"),
+        "aes": policy.aes_decrypt(policy.call(lambda d: F.when(d.endswith("24-02-29"), F.aes_encrypt(d, F.lit("0000111122223333"))).otherwise(d.cast("binary")), "d"), F.lit("0000111122223333")),
+    }
+    for name, g in guards.items():
+        errors = [r[0] for r in policy.guarded(df, v=g).select("_error").collect()]
+        assert errors == (["InvalidValue"] * 2 + [None] if name == "number" else [None, "InvalidValue", None]), name
+    assert policy.guarded(df, v=guards["json"]).first().v == 1
+    assert policy.guarded(df, v=policy.variant(policy.json(F.lit('{"n": "x"}')), "$.n", "int")).first()._error == "InvalidValue"
+
+
+def test_bounded_top_values(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 3, 7.0), ("b", 4, None), (None, 5, 1.0), (None, 6, 1.0)], "k string, i long, _key0 double")
+    rows = Dataset(df).group_by_agg([lambda r: r.k], [aggregates.max_n("_key0", 2).alias("t"), aggregates.count(), aggregates.min_by_n("i", "_key0", 1).alias("m"), lambda r: F.sum(r.i).alias("s")])
+    assert rows.df.columns == ["k", "t", "count(1)", "m", "s"]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("a", [7.0, 5.0], 3, [1], 6), ("b", [], 1, [], 4), (None, [1.0, 1.0], 2, [5], 11)], key=str)
+    assert Dataset(df).aggregate([aggregates.max_by_n("i", "_key0", 2).alias("t")]).collect()[0].t == [3, 1]
+    assert Dataset(df).filter("i > 9").aggregate([aggregates.min_n("i", 3).alias("t"), aggregates.count().alias("n")]).collect()[0] == ([], 0)
+    plan = Dataset(df).group_by_agg(["k"], [aggregates.min_n("i", 2)]).df._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "row_number(), 2, Partial" in plan
+
+
+def test_lambdas_over_rows(people):
+    d = Dataset(people)
+    assert [tuple(r) for r in d.filter(lambda r: r.id == 1).select(lambda r: ("<" + r.name + ">").alias("s"), n=lambda r: (r.name + r.name).length, m=lambda r: r.id + 1).collect()] == [("<a>", 2, 2)]
+    assert d.with_fields(t=lambda r: r.name + "!").filter("t = 'b!'").count() == 1
+    low, high = d.partition(lambda r: r.dept > 10)
+    assert (low.count(), high.count()) == (1, 2) and d.partition("dept > 10")[1].count() == 2
+    good, bad = d.with_quarantine(v=lambda r: policy.divide(r.id, r.id % 2))
+    assert (good.count(), bad.count()) == (2, 2)
+
+
 def test_tuple_sketch_above_its_size(spark):
     df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") % 10_000).alias("k"), F.lit(1.0).alias("v"))
     s = sketches.tuple_sketch(df, ["g"], "k", "v", lg=10).select(sketches.estimate("sketch").alias("e"), sketches.theta("sketch").alias("t"), sketches.summary("sketch").alias("s")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,28 +39,43 @@ def any_value(c) -> Column:
     return F.any_value(column(c), F.lit(True))
 
 
-def max_n(c, n: int) -> Column:
-    """The n largest values, falling. Gathers a group's values, as Spark has no bounded form: for large groups use
-    ``weftline.operators.aggregation.top_per_group``, which keeps n rows of a group in each task."""
-    return F.slice(F.sort_array(F.collect_list(column(c)), asc=False), 1, n)
+@dataclass(frozen=True)
+class TopN:
+    """The values of the n rows of a group with the largest (``rising``: smallest) ``by``; equal ones by value. Rows whose ``by`` is
+    NULL are left out. It stands among the aggregates of ``Dataset.group_by_agg`` and ``aggregate``, where each task keeps n rows of a
+    group before anything is shuffled; ``gathered`` is a plain column for other places, which holds a whole group."""
+
+    value: Column
+    by: Column
+    n: int
+    rising: bool
+    name: str = "top"
+
+    def alias(self, name: str) -> TopN:
+        return replace(self, name=name)
+
+    @property
+    def gathered(self) -> Column:
+        rows = F.collect_list(F.when(self.by.isNotNull(), F.struct(self.by.alias("k"), self.value.alias("v"))))
+        return F.transform(F.slice(F.sort_array(rows, asc=self.rising), 1, self.n), lambda x: x["v"]).alias(self.name)
 
 
-def min_n(c, n: int) -> Column:
-    return F.slice(F.sort_array(F.collect_list(column(c))), 1, n)
+def max_n(c, n: int) -> TopN:
+    """The n largest values, falling."""
+    return TopN(column(c), column(c), n, False)
 
 
-def _by(value, key, n: int, asc: bool) -> Column:
-    rows = F.collect_list(F.struct(column(key).alias("k"), column(value).alias("v")))
-    return F.transform(F.slice(F.sort_array(rows, asc=asc), 1, n), lambda x: x["v"])
+def min_n(c, n: int) -> TopN:
+    return TopN(column(c), column(c), n, True)
 
 
-def max_by_n(value, key, n: int) -> Column:
+def max_by_n(value, key, n: int) -> TopN:
     """The values of the n largest keys; equal keys by value."""
-    return _by(value, key, n, False)
+    return TopN(column(value), column(key), n, False)
 
 
-def min_by_n(value, key, n: int) -> Column:
-    return _by(value, key, n, True)
+def min_by_n(value, key, n: int) -> TopN:
+    return TopN(column(value), column(key), n, True)
 
 
 def percentile(c, p) -> Column:

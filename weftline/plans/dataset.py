@@ -6,28 +6,59 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from types import FunctionType
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
+from weftline.functions.aggregates import TopN
 from weftline.functions.plumbing import column
 from weftline.operators import aggregation, indexing, joins, sorting
 from weftline.operators import windows as windowing
 from weftline.plans import policy, schema
 
 
+class _Text:
+    """What string columns can do beside what columns can: ``+`` joins, ``length`` counts characters."""
+
+    def __add__(self, other: Any) -> Column:
+        return text(F.concat(self, other if isinstance(other, Column) else F.lit(other)))
+
+    def __radd__(self, other: Any) -> Column:
+        return text(F.concat(F.lit(other), self))
+
+    @property
+    def length(self) -> Column:
+        return F.length(self)
+
+
+def text(c: Column) -> Column:
+    """A string column for which ``+`` joins strings (a plain column adds numbers)."""
+    c.__class__ = type("Text", (_Text, type(c)), {})
+    return c
+
+
 class RowProxy:
-    """What a lambda over a row gets: attributes are columns."""
+    """What a lambda over a row gets: attributes are columns, those of strings as ``text``."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self._df = df
 
     def __getattr__(self, name: str) -> Column:
-        return F.col(name)
+        kinds = [f.dataType for f in self._df.schema if f.name == name]
+        return text(F.col(name)) if kinds and isinstance(kinds[0], StringType) else F.col(name)
 
     __getitem__ = __getattr__
 
 
+Expression = Column | str | Callable[[RowProxy], Column]
+Predicate = Expression
+Aggregated = Column | TopN | Callable[[RowProxy], "Column | TopN"]
+
+
 class Dataset:
     def __init__(self, df: DataFrame, node: str = "Root", inputs: tuple[Dataset, ...] = ()) -> None:
         self.df, self.node, self.inputs = df, node, inputs
@@ -47,13 +78,16 @@ class Dataset:
     def _next(self, df: DataFrame, node: str, *others: Dataset) -> Dataset:
         return Dataset(df, node, (self, *others))
 
+    def _of(self, x: Any) -> Any:
+        """What a lambda over a row makes; anything else as it is."""
+        return x(RowProxy(self.df)) if isinstance(x, FunctionType) else x
+
     # rows
 
-    def filter(self, predicate: Column | str) -> Dataset:
-        return self._next(self.df.where(predicate), "Filter")
+    def filter(self, predicate: Predicate) -> Dataset:
+        return self._next(self.df.where(self._of(predicate)), "Filter")
 
-    def where(self, predicate: Callable[[RowProxy], Column]) -> Dataset:
-        return self.filter(predicate(RowProxy()))
+    where = filter
 
     def map(self, fn: Callable[[Row], tuple], kind: StructType | str) -> Dataset:
         """Each row through a Python function, in Arrow batches. Where an expression will do, ``select`` stays in the JVM."""
@@ -70,14 +104,14 @@ class Dataset:
         out = (kind if isinstance(kind, StructType) else StructType.fromDDL(kind)).names
         return self._next(self.df.mapInPandas(run, kind), node)
 
-    def select(self, *columns: Column | str, **named: Column | str) -> Dataset:
-        return self._next(self.df.select(*columns, *(column(c).alias(n) for n, c in named.items())), "SelectExprs")
+    def select(self, *columns: Expression, **named: Expression) -> Dataset:
+        return self._next(self.df.select(*map(self._of, columns), *(column(self._of(c)).alias(n) for n, c in named.items())), "SelectExprs")
 
     def select_rows(self, fn: Callable[[Row], tuple], kind: StructType | str) -> Dataset:
         return self.flat_map(lambda row: [fn(row)], kind, "Select")
 
-    def with_fields(self, **named: Column) -> Dataset:
-        return self._next(self.df.withColumns(named), "SelectExprs")
+    def with_fields(self, **named: Expression) -> Dataset:
+        return self._next(self.df.withColumns({n: column(self._of(c)) for n, c in named.items()}), "SelectExprs")
 
     def project(self, kind: StructType | type) -> Dataset:
         """The columns of another schema, by name."""
@@ -93,9 +127,11 @@ class Dataset:
     def sample(self, fraction: float, seed: int, with_replacement: bool = False) -> Dataset:
         return self._next(self.df.sample(with_replacement, fraction, seed), "Sample")
 
-    def partition(self, predicate: Column) -> tuple[Dataset, Dataset]:
+    def partition(self, predicate: Predicate) -> tuple[Dataset, Dataset]:
         """Rows for which the predicate is true, and those for which it is false; NULL is in neither."""
-        return self.filter(predicate), self.filter(~predicate)
+        wanted = self._of(predicate)
+        wanted = F.expr(wanted) if isinstance(wanted, str) else wanted
+        return self.filter(wanted), self.filter(~wanted)
 
     # sets
 
@@ -159,8 +195,8 @@ class Dataset:
         """By a Python key, computed in Arrow batches, that Spark then sorts by."""
         return self._next(sorting.sort_by_key(self.df, key, kind), "SortBy")
 
-    def sort_by_expr(self, c: Column | str) -> Dataset:
-        return self._next(self.df.orderBy(column(c).asc()), "SortByExpr")
+    def sort_by_expr(self, c: Expression) -> Dataset:
+        return self._next(self.df.orderBy(column(self._of(c)).asc()), "SortByExpr")
 
     sort_by_column = sort_by_expr
 
@@ -190,8 +226,8 @@ class Dataset:
 
     # groups and windows
 
-    def group_by_agg(self, keys: list[Column | str], aggs: list[Column]) -> Dataset:
-        return self._next(aggregation.group_by(self.df, keys, aggs), "GroupByAgg")
+    def group_by_agg(self, keys: list[Expression], aggs: list[Aggregated]) -> Dataset:
+        return self._next(aggregation.group_by(self.df, [self._of(k) for k in keys], [self._of(a) for a in aggs]), "GroupByAgg")
 
     def rollup_agg(self, keys: list[Column | str], aggs: list[Column]) -> Dataset:
         return self._next(self.df.rollup(*keys).agg(*aggs), "RollupAgg")
@@ -199,19 +235,19 @@ class Dataset:
     def cube_agg(self, keys: list[Column | str], aggs: list[Column]) -> Dataset:
         return self._next(self.df.cube(*keys).agg(*aggs), "CubeAgg")
 
-    def aggregate(self, aggs: list[Column]) -> Dataset:
-        return self._next(self.df.agg(*aggs), "Aggregate")
+    def aggregate(self, aggs: list[Aggregated]) -> Dataset:
+        return self._next(aggregation.group_by(self.df, [], [self._of(a) for a in aggs]), "Aggregate")
 
     def with_window(self, partition_by: list, order_by: list, frame: tuple[int, int] | None = None, **named: Column) -> Dataset:
         return self._next(windowing.with_window(self.df, partition_by, order_by, named, frame), "WithWindow")
 
     # policies
 
-    def with_collected_errors(self, max_errors: int = 100, **columns: policy.Guarded) -> policy.Collected:
-        return policy.collect_errors(self.df, max_errors, **columns)
+    def with_collected_errors(self, max_errors: int = 100, **columns: policy.Guarded | Callable[[RowProxy], policy.Guarded]) -> policy.Collected:
+        return policy.collect_errors(self.df, max_errors, **{n: self._of(g) for n, g in columns.items()})
 
-    def with_quarantine(self, preview: int | str | None = 120, redact: Callable[[Column], Column] | None = None, **columns: policy.Guarded) -> tuple[Dataset, Dataset]:
-        good, bad = policy.quarantine(self.df, preview, redact, **columns)
+    def with_quarantine(self, preview: int | str | None = 120, redact: Callable[[Column], Column] | None = None, **columns: policy.Guarded | Callable[[RowProxy], policy.Guarded]) -> tuple[Dataset, Dataset]:
+        good, bad = policy.quarantine(self.df, preview, redact, **{n: self._of(g) for n, g in columns.items()})
         return self._next(good, "WithPolicy"), self._next(bad, "WithPolicy")
 
     def narrow(self, kind: StructType | type) -> Dataset:

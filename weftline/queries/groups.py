@@ -14,6 +14,7 @@ from weftline.functions import windows as W
 from weftline.operators.aggregation import grouping_sets, top_per_group
 from weftline.operators.windows import with_window
 from weftline.plans import policy
+from weftline.plans.dataset import Dataset
 
 Spec = tuple[str, str, Callable[[], Column], str | None]
 BIG, DBL, STR, BOOL = "bigint", "double", "string", "boolean"
@@ -39,14 +40,12 @@ AGGREGATES: list[Spec] = [
     ("min", DBL, lambda: G.min_("l_extendedprice"), "min(l_extendedprice)"),
     ("max_by", DBL, lambda: G.max_by("l_quantity", F.struct("l_extendedprice", "l_quantity")), "max_by(l_quantity, {'a': l_extendedprice, 'b': l_quantity})"),
     ("min_by", DBL, lambda: G.min_by("l_quantity", F.struct("l_extendedprice", "l_quantity")), "min_by(l_quantity, {'a': l_extendedprice, 'b': l_quantity})"),
-    ("max_n", STR, lambda: joined(G.max_n("l_partkey", 3)), "array_to_string(max(l_partkey, 3), ',')"),
-    ("min_n", STR, lambda: joined(G.min_n("l_orderkey", 3)), "array_to_string(min(l_orderkey, 3), ',')"),
-    ("max_by_n", STR, lambda: joined(G.max_by_n("l_orderkey", "l_extendedprice", 2)), "array_to_string(list_transform(max({'k': l_extendedprice, 'v': l_orderkey}, 2), lambda x: x.v), ',')"),
-    ("min_by_n", STR, lambda: joined(G.min_by_n("l_orderkey", "l_extendedprice", 2)), "array_to_string(list_transform(min({'k': l_extendedprice, 'v': l_orderkey}, 2), lambda x: x.v), ',')"),
-    ("first", BOOL, lambda: G.first("l_partkey").isNotNull(), "true"),
-    ("last", BOOL, lambda: G.last("l_partkey").isNotNull(), "true"),
-    ("any_value", BOOL, lambda: G.any_value("l_partkey").isNotNull(), "true"),
-    ("collect", BIG, lambda: F.size(G.collect("l_partkey")), "count(l_partkey)"),
+    ("max_n_gathered", STR, lambda: joined(G.max_n("l_partkey", 3).gathered), "array_to_string(max(l_partkey, 3), ',')"),
+    # of a group's one value among NULLs, so that any order gives it
+    ("first", STR, lambda: G.first(F.when(F.col("l_linenumber") > 1, F.col("l_returnflag"))), "l_returnflag"),
+    ("last", STR, lambda: G.last(F.when(F.col("l_linenumber") < 2, F.col("l_returnflag"))), "l_returnflag"),
+    ("any_value", STR, lambda: G.any_value(F.when(F.col("l_linenumber") > 1, F.col("l_returnflag"))), "l_returnflag"),
+    ("collect", BIG, lambda: F.aggregate(G.collect("l_partkey"), F.lit(0).cast(BIG), lambda a, x: a + x * x), "sum(l_partkey * l_partkey)"),
     ("collect_set", STR, lambda: joined(F.sort_array(G.collect_set("l_linenumber"))), "array_to_string(list_sort(list(DISTINCT l_linenumber)), ',')"),
     ("std_dev", DBL, lambda: G.std_dev("l_quantity"), "stddev_samp(l_quantity)"),
     ("std_dev_pop", DBL, lambda: G.std_dev_pop("l_quantity"), "stddev_pop(l_quantity)"),
@@ -56,7 +55,7 @@ AGGREGATES: list[Spec] = [
     ("covar_samp", DBL, lambda: F.round(G.covar_samp("l_quantity", "l_discount"), 4), "round(covar_samp(l_quantity, l_discount), 4)"),
     ("covar_pop", DBL, lambda: F.round(G.covar_pop("l_quantity", "l_discount"), 4), "round(covar_pop(l_quantity, l_discount), 4)"),
     ("median", DBL, lambda: G.median("l_extendedprice"), "median(l_extendedprice)"),
-    ("mode", BIG, lambda: G.mode(F.least(F.col("l_linenumber"), F.lit(1))), "mode(least(l_linenumber, 1))"),
+    ("mode", BIG, lambda: G.mode("l_linenumber", True), "list_min(list_transform(list_filter(map_entries(histogram(l_linenumber)), lambda e: e.value = list_max(map_values(histogram(l_linenumber)))), lambda e: e.key))"),
     ("percentile", DBL, lambda: G.percentile("l_extendedprice", 0.3), "quantile_cont(l_extendedprice, 0.3)"),
     ("percentile_approx", BOOL, lambda: F.abs(G.percentile_approx("l_quantity", 0.3) - G.percentile("l_quantity", 0.3)) <= 1, "true"),
     ("median_approx", BOOL, lambda: F.abs(G.median_approx("l_quantity") - G.median("l_quantity")) <= 1, "true"),
@@ -68,7 +67,7 @@ AGGREGATES: list[Spec] = [
     ("bit_and_agg", BIG, lambda: G.bit_and(F.col("l_partkey")), "bit_and(l_partkey)"),
     ("bit_or_agg", BIG, lambda: G.bit_or(F.col("l_partkey")), "bit_or(l_partkey)"),
     ("bit_xor_agg", BIG, lambda: G.bit_xor(F.col("l_partkey")), "bit_xor(l_partkey)"),
-    ("histogram_numeric", BIG, lambda: F.size(G.histogram_numeric("l_quantity", 5)), "5"),
+    ("histogram_numeric", BIG, lambda: F.aggregate(G.histogram_numeric("l_quantity", 5), F.lit(0.0), lambda a, b: a + b["y"]) + F.size(G.histogram_numeric("l_quantity", 5)), "count(*) + 5"),
     ("kll_sketch_agg", BIG, lambda: K.kll_n("double", K.kll_sketch_agg("double", "l_quantity")), "count(*)"),
     *[(f"kll_sketch_{k}", BIG, partial(lambda k, c: K.kll_n(k, K.kll_sketch_agg(k, F.col(c).cast(k), 200)), k, c), "count(*)") for k, c in (("bigint", "l_partkey"), ("float", "l_quantity"))],
     ("kll_quantile", BOOL, lambda: F.abs(K.kll_quantile("double", K.kll_sketch_agg("double", "l_quantity"), 0.5) - G.median("l_quantity")) <= 2, "true"),
@@ -213,6 +212,37 @@ def _tuple_aggs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(u, "l_returnflag").select("l_returnflag", "keys", _close(F.col("e"), F.col("keys"), F.col("keys")).alias("close"))
 
 
+TOPS: dict[str, tuple[Callable[[], G.TopN], str]] = {
+    "max_n": (lambda: G.max_n("l_partkey", 3), "max(l_partkey, 3)"),
+    "min_n": (lambda: G.min_n("l_orderkey", 3), "min(l_orderkey, 3)"),
+    "max_by_n": (lambda: G.max_by_n("l_orderkey", "l_extendedprice", 2), "list_transform(max({'k': l_extendedprice, 'v': l_orderkey}, 2), lambda x: x.v)"),
+    "min_by_n": (lambda: G.min_by_n("l_orderkey", "l_extendedprice", 2), "list_transform(min({'k': l_extendedprice, 'v': l_orderkey}, 2), lambda x: x.v)"),
+}
+
+
+def _topped(spark: SparkSession, sf_dir: str, top: Callable[[], G.TopN]) -> DataFrame:
+    found = Dataset(_read(spark, sf_dir, "lineitem")).group_by_agg(["l_returnflag"], [G.count().alias("n"), top().alias("v")])
+    return found.select("l_returnflag", "n", v=joined(F.col("v"))).df
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that is no date, a date that is none, an index beyond its array, a division by zero and an overflow, in one expression."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    key = F.col("o_orderkey")
+    day = policy.make_date(2023, 2, key % 31 + 1)
+    read = policy.date(F.when(key % 7 == 0, F.lit("no date")).otherwise(F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (key % 50).cast("int")), "yyyy-MM-dd")), "yyyy-MM-dd")
+    days = policy.call(lambda a, b: F.datediff(a, b).cast("bigint"), day, read)
+    part = policy.choose(key % 5 == 0, policy.element(F.array(F.lit(7), F.lit(11)), (key % 4).cast("int")), days / policy.cast((key % 3).cast("string"), "bigint"))
+    v = policy.call(lambda x: F.round(x.cast("double"), 6), part + policy.arithmetic(F.try_multiply, key % 2, F.lit(2**62)) * 1 * (key % 11))
+    return policy.guarded(orders, v=v).select("o_orderkey", "v", F.col("_error").alias("error"))
+
+
+GUARDED = """WITH d AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS fives, o_orderkey % 31 + 1 > 28 AS no_day, o_orderkey % 7 = 0 AS no_date, (o_orderkey % 2) * (o_orderkey % 11) > 1 AS large FROM orders),
+p AS (SELECT *, CASE WHEN fives THEN CASE WHEN k % 4 NOT IN (1, 2) THEN 'IndexOutOfBounds' END WHEN no_day OR no_date THEN 'InvalidValue' WHEN k % 3 = 0 THEN 'DivisionByZero' END AS e FROM d),
+q AS (SELECT *, coalesce(e, CASE WHEN large THEN 'Overflow' END) AS error FROM p)
+SELECT k AS o_orderkey, CASE WHEN error IS NULL THEN round(CASE WHEN fives THEN [7, 11][k % 4]::DOUBLE ELSE (datediff('day', DATE '2023-01-01' + (k % 50)::INTEGER, DATE '2023-02-01' + (k % 31)::INTEGER))::DOUBLE / (k % 3) END + ((k % 2) * (k % 11))::DOUBLE * 4611686018427387904, 6) END AS v, error FROM q"""
+
+
 def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
     good, bad = policy.quarantine(part, ratio=policy.divide("p_retailprice", F.col("p_size") % 3), code=policy.element(F.array(F.lit(1), F.lit(2)), F.col("p_size") % 2 + 1))
@@ -225,12 +255,13 @@ def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, n, len(found.errors), found.truncated) for k, n in found.by_kind.items()], "kind string, n long, listed int, truncated boolean").withColumn("listed", F.col("listed").cast("bigint"))
 
 
-QUERIES = {n: partial(_aggregate, kind=k, value=v) for n, k, v, _ in AGGREGATES} | {n: partial(_window, kind=k, value=v, framed=f) for n, k, v, _, f in WINDOWS} | {
+QUERIES = {n: partial(_aggregate, kind=k, value=v) for n, k, v, _ in AGGREGATES} | {n: partial(_window, kind=k, value=v, framed=f) for n, k, v, _, f in WINDOWS} | {n: partial(_topped, top=t) for n, (t, _) in TOPS.items()} | {
     "grouping": _rollup, "grouping_id": _cube, "grouping_sets": _sets, "top_per_group": _top, "kll_merge_agg": _kll_merge_agg, "tuple_sketch_agg": _tuple_sketch,
-    "tuple_sketch_sets": _tuple_sets, "theta_sketch_sets": _theta_sets, "tuple_sketch_set_aggs": _tuple_aggs, "tuple_sketch_sets_full": _tuple_sets_full, "theta_sketch_sets_full": _theta_sets_full, "tuple_sketch_set_aggs_full": _tuple_aggs_full, "quarantine": _quarantined, "collect_errors": _collected,
+    "tuple_sketch_sets": _tuple_sets, "theta_sketch_sets": _theta_sets, "tuple_sketch_set_aggs": _tuple_aggs, "tuple_sketch_sets_full": _tuple_sets_full, "theta_sketch_sets_full": _theta_sets_full, "tuple_sketch_set_aggs_full": _tuple_aggs_full, "guarded_expressions": _guarded, "quarantine": _quarantined, "collect_errors": _collected,
     "current_path": lambda spark, sf_dir: _read(spark, sf_dir, "region").select("r_regionkey", K.current_path().alias("v")),
 }
-ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _window_sql(k, s, f) for n, k, _, s, f in WINDOWS} | {
+ORACLE_SQL = {n: _aggregate_sql(k, s) for n, k, _, s in AGGREGATES if s} | {n: _window_sql(k, s, f) for n, k, _, s, f in WINDOWS} | {n: f"SELECT l_returnflag, count(*) AS n, array_to_string({v}, ',') AS v FROM lineitem GROUP BY 1" for n, (_, v) in TOPS.items()} | {
+    "guarded_expressions": GUARDED,
     "grouping": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::BIGINT AS g, grouping(l_returnflag, l_linestatus)::BIGINT AS gid, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "grouping_id": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS gid, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",

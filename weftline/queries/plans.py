@@ -179,11 +179,9 @@ def salted_key_join(t):
     return salted_join(lines, t("orders").df.select("o_orderkey"), "o_orderkey", 4)
 
 
-@query("SELECT r_name, row_number() OVER (ORDER BY r_regionkey, r_name) AS n FROM region")
+@query("SELECT o_orderpriority, o_custkey, o_orderkey FROM orders ORDER BY ALL LIMIT 15")
 def sort(t):
-    from weftline.operators.windows import with_window
-
-    return with_window(t("region").sort().df, [], ["r_regionkey", "r_name"], {"n": F.row_number()}).select("r_name", F.col("n").cast("long").alias("n"))
+    return t("orders").select("o_orderpriority", "o_custkey", "o_orderkey").sort().limit(15)
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey % 1000 DESC, o_orderkey LIMIT 15")
@@ -201,9 +199,21 @@ def sort_by_exprs(t):
     return t("orders").select("o_orderkey", "o_orderstatus").sort_by_exprs(("o_orderstatus", "desc"), ("o_orderkey", "asc")).limit(15)
 
 
-@query()
+@query("SELECT true AS near, true AS within, true AS again")
 def sample(t):
-    return t("orders").sample(0.1, seed=7).select("o_orderkey")
+    """The share of rows, that all are rows of the table, once each, and that a seed gives the same rows twice."""
+    keys = t("orders").select("o_orderkey")
+    some, again = (keys.sample(0.1, seed=7).select(F.col("o_orderkey").alias("k"), F.lit(i).alias("i")) for i in (1, 2))
+    each = some.union(again).group_by_agg(["k"], [F.sum("i").alias("i"), G.count().alias("n")])
+    found = keys.left_join_on(each, "o_orderkey", "k").aggregate([G.count().alias("rows"), F.count("k").alias("kept"), F.bool_and((F.col("i") == 3) & (F.col("n") == 2)).alias("same")])
+    counted = each.aggregate([G.count().alias("all")])
+    return Dataset(found.df.crossJoin(counted.df)).select((F.abs(F.col("kept") - 0.1 * F.col("rows")) < 4 * F.sqrt(0.09 * F.col("rows"))).alias("near"), (F.col("kept") == F.col("all")).alias("within"), F.col("same").alias("again"))
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_type || '!' AS label, length(p_type) AS n FROM part WHERE p_brand || 'x' > 'Brand#3'")
+def text_lambdas(t):
+    rows = t("part").where(lambda r: r.p_brand + "x" > "Brand#3")
+    return rows.select("p_partkey", label=lambda r: r.p_brand + "/" + r.p_type + "!", n=lambda r: r.p_type.length.cast("long"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, sum(range)::BIGINT AS total, max(range) AS top FROM (SELECT o_orderkey, row_number() OVER () - 1 AS range FROM orders)")
