@@ -19,7 +19,8 @@ def json_tuple(c, *keys: str) -> Column:
     """The values of top-level keys of an object, as an array of strings; the text is parsed once for all of them."""
     fields = StructType([StructField(k, StringType()) for k in dict.fromkeys(keys)])
     found = F.from_json(F.when(F.ltrim(column(c)).startswith("{"), column(c)), fields)
-    return F.array(*(found.getField(k) for k in keys))
+    values = F.transform(F.array(found), lambda s: F.array(*(s.getField(k) for k in keys)))  # a field of ``found`` itself would be parsed alone
+    return F.get(values, F.lit(0))
 
 
 def from_json(c, schema: str) -> Column:
