@@ -118,20 +118,44 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+#: Parts that the rows of one group are dealt to when they meet what is known of the group.
+GROUP_PARTS = 64
+
+
+def part_of(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(GROUP_PARTS)).cast("int")
+
+
+def parts_of(by: str) -> Column:
+    """Aggregate: the parts that a group has rows in, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), part_of(by))).alias("_parts")
+
+
+def met_parts(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (key, _parts of ``rows`` by ``by``, ...). A group's rows meet them in GROUP_PARTS parts by
+    the hash of ``by``, so no task meets a whole group."""
+    parts = F.explode(F.expr(f"filter(sequence(0, {GROUP_PARTS - 1}), p -> getbit(_parts, p) = 1)"))
+    dealt = groups.withColumn("_part", parts).drop("_parts")
+    return rows.withColumn("_part", part_of(by)).join(dealt.hint(hint) if hint else dealt, [key, "_part"], how).drop("_part")
+
+
+def with_group(rows: DataFrame, key: str, by: str, *facts: Column) -> DataFrame:
+    """``rows`` with ``facts`` (aggregates, combined before their shuffle) of their group of ``key``, which is never NULL."""
+    return met_parts(rows, rows.groupBy(key).agg(*facts, parts_of(by)), key, by)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v; any order, repeats allowed): (node, root) for each node but the roots, root the
     smallest node of its component. Alternating large and small stars: each round joins each edge with its end's smallest
-    neighbour, so no node's neighbours are ever gathered in one place; rounds are staged in the shared folder."""
+    neighbour, part by part, so no node's neighbours are ever gathered in one place; rounds are staged in the shared folder."""
     def distinct(u: Column, v: Column, df: DataFrame) -> DataFrame:
         return df.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
 
     e = stage(distinct(F.col("u"), F.col("v"), edges), "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = distinct(F.col("v"), F.col("m"), both.join(low, "u").where("v > u"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
+        large = distinct(F.col("v"), F.least("u", "m"), with_group(both, "u", "v", F.min("v").alias("m")).where("v > u"))
+        pairs = with_group(large, "u", "v", F.min("v").alias("m"))
         small = distinct(F.col("u"), F.col("m"), pairs.select("u", "m").union(pairs.select("v", "m")))
         new = stage(small, "edges")
         digest = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))]

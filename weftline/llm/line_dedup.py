@@ -12,7 +12,7 @@ one part at least is the same in all lines of a template. Only lines with a part
 A template recurs, and its lines are dropped, if it stands in MIN_CLASSES copy classes or more; in LONG_CLASSES if it has LONG_TOKENS
 or more and no learnt field, as no such line is three times the same by accident. The same numbers make a token fixed. Two documents
 alone cannot be told from one and a text that quotes it, so their lines stay. A copy class is a component of texts whose sketches of
-five-word shingles (256 bits of SimHash, met under minima) are those of a similarity of COPY_SIMILARITY or more: exact copies,
+five-word shingles (128 bits of SimHash, met under minima) are those of a similarity of COPY_SIMILARITY or more: exact copies,
 copies and revisions of one document count once, so their text is not taken for boilerplate, while lines that recur together in
 otherwise different documents leave those in classes of their own. Near-duplicate removal, not this operator, is for copies.
 
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import per_text, stage, table
+from weftline.llm.common import met_parts, parts_of, per_text, stage, table
 from weftline.llm.simhash import sketch_components
 
 MIN_TOKENS = 3
@@ -142,8 +142,14 @@ def named_lines(texts: DataFrame, names: DataFrame, limit: int) -> DataFrame:
 
 
 def met(rows: DataFrame, small: DataFrame, on: str, how: str, limit: int) -> DataFrame:
-    """A join with a staged table, which is broadcast if it has at most ``limit`` rows."""
-    return rows.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+    """A join with a staged table, which is broadcast if it has at most ``limit`` rows; else rows of one key meet it in parts (in a left join
+    they are a text's lines, and few)."""
+    if small.count() <= limit:
+        return rows.join(F.broadcast(small), on, how)
+    if how == "left":
+        return rows.join(small, on, how)
+    rows = rows.withColumn("_by", F.hash(*rows.columns))
+    return met_parts(rows, small.join(rows.groupBy(on).agg(parts_of("_by")), on), on, "_by", how).drop("_by")
 
 
 def words_of(lines: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def line_templates(docs: DataFrame, text: str = "text", broadcast_limit: int = B
     each = stage(met(kinds.select("name", "n", "leaf"), texts_of, "name", "inner", broadcast_limit), "lines")
     alive = stage(met(lines.select("name", "n", "class"), names, "name", "left_semi", broadcast_limit), "alive-lines")
     words = stage(words_of(each), "words")
-    fixed = stage(support(alive.join(words.select("name", F.explode("words").alias("word")), "name"), "n", "word").where(F.col("classes") >= enough).select("word"), "fixed")
+    fixed = stage(support(met(alive, words, "name", "inner", -1).withColumn("word", F.explode("words")), "n", "word").where(F.col("classes") >= enough).select("word"), "fixed")
     places = fixed_places(words, fixed, broadcast_limit)
     tokens = F.split("line", " ")
     fields = F.size(F.filter(tokens, lambda x: x == FIELD))

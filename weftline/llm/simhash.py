@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, forest, per_text, python_tasks, stage, table
+from weftline.llm.common import components, forest, met_parts, parts_of, per_text, python_tasks, stage, table, with_group
 
 SHINGLE = 3
 RADIUS = 2
@@ -145,8 +145,8 @@ def block_keys(fp: Column) -> Column:
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): spanning stars of the links between the fingerprints of ``distinct`` (fp)."""
     keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key").withColumns({"weight": F.bit_count("fp"), "cuts": F.ceil(F.col("n") / TILE)})
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), parts_of("fp")).where("n > 1")
+    keyed = met_parts(keyed, sizes, "key", "fp").withColumns({"weight": F.bit_count("fp"), "cuts": F.ceil(F.col("n") / TILE)})
     keyed = keyed.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")))
 
     def unit(*of: Column) -> Column:
@@ -167,12 +167,11 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id that links reach."""
     fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), parts_of("doc_id")), "distinct")
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "_parts", F.coalesce("root", "fp").alias("root"))
+    of_fp = with_group(rooted.withColumnRenamed("_parts", "_docs"), "root", "fp", F.min("first").alias("component_id"))
+    return met_parts(fps, of_fp.select("fp", "component_id", F.col("_docs").alias("_parts")), "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,29 +360,29 @@ def key_links(rows: DataFrame, similarity: float, tile: int, deals: int = 1, rad
     proportion to its size, and no pair of a key is left out."""
     own = rows.columns[2:]
     radius = wide_radius(similarity) if radius is None else radius
-    sizes = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
+    sizes = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), parts_of("node")).where("n > 1"), "wide-sizes")
     python_tasks(rows.sparkSession)
 
     def dealt(met: DataFrame) -> DataFrame:
         return stage(met.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: wide_links(batches, radius, similarity), "u long, v long"), "wide-links")
 
-    sized = rows.join(sizes.hint("merge"), "key").withColumn("cuts", F.ceil(F.col("n") / tile))
+    sized = met_parts(rows, sizes, "key", "node", hint="merge").withColumn("cuts", F.ceil(F.col("n") / tile))
     if deals > 1:
         sized = sized.withColumn("deal", F.explode(F.when(F.col("cuts") > 1, F.sequence(F.lit(1), F.lit(deals))).otherwise(F.array(F.lit(1)))))
     else:
         sized = sized.withColumn("deal", F.lit(1))
     cut = F.pmod(F.xxhash64("node", "key", "deal"), F.col("cuts"))
     first = dealt(sized.select(F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal", cut)).alias("unit"), F.lit(0).alias("side"), "node", *own))
-    large = sizes.where(F.col("n") > tile).select("key")
+    large = sizes.where(F.col("n") > tile).select("key", "_parts")
     if large.isEmpty():
         return first
-    labelled = rows.join(large, "key").join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    labelled = met_parts(rows, large, "key", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node"))
     groups = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     tops = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).withColumn("m", F.col("n") - F.col("top.n"))
     tops = stage(tops.where("m > 0").select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") / tile).alias("cuts"), F.ceil(F.col("m") / tile).alias("others")), "wide-tops")
     if tops.isEmpty():
         return first
-    open_ = labelled.join(tops, "key")
+    open_ = met_parts(labelled, tops.join(large, "key"), "key", "node")
     a, b = F.pmod(F.xxhash64("node", "key"), F.col("cuts")), F.pmod(F.xxhash64("node", "key"), F.col("others"))
     left = open_.select("key", a.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("b"), F.lit(0).alias("side"), "node", *own)
     right = open_.where("label <> top").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("a"), b.alias("b"), F.lit(1).alias("side"), "node", *own)
@@ -406,13 +405,13 @@ def sketched(texts: DataFrame, shingle: int = WIDE_SHINGLE, distinct: bool = Tru
 
     sketches = stage(per_text(texts.select("doc_id", "text"), run, f"doc_id long, name long, {SKETCH_TYPES}, keys array<long>"), "sketches")
     # a set has one sketch and one list of keys, so any of them will do
-    return sketches.select("doc_id", "name"), stage(sketches.groupBy("name", *SKETCH).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "sketches-distinct")
+    return sketches.select("doc_id", "name"), stage(sketches.groupBy("name", *SKETCH).agg(F.min("doc_id").alias("node"), parts_of("doc_id"), F.first("keys").alias("keys")), "sketches-distinct")
 
 
 def rooted(of: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, component_id): the root is a component's smallest node, and a node is the smallest doc_id of its set."""
-    found = distinct.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
-    return of.join(found, "name").select("doc_id", "component_id")
+    found = distinct.select("name", "node", "_parts").join(roots, "node", "left").select("name", "_parts", F.coalesce("root", "node").alias("component_id"))
+    return met_parts(of, found, "name", "doc_id").select("doc_id", "component_id")
 
 
 #: The sketches that decide alone: their words and keys, of which texts of 0.8 share one with a probability of 0.995, of 0.5 with 0.48.
